@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, secrets, token_files
+from tessera.llm import bpe, language, quality, secrets, token_files
 from tessera.llm.common import new_path, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,5 +29,22 @@ def op5_token_files_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.layout(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_pair_index, op3_secret_scan, op5_token_files_orc)}
+def op4_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("enough")).alias("kept"), "score")
+
+
+def fold(id_col: str = "doc_id"):
+    return F.crc32(F.col(id_col).cast("string")) % 4
+
+
+def op9_language_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = language.learn(docs, fold() != 2)
+    held = language.identify(docs, labelled).withColumn("held_out", F.coalesce(fold() == 2, F.lit(False)))
+    return held.select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_pair_index, op3_secret_scan, op4_quality_ratio, op5_token_files_orc, op9_language_cross_parsing)}
 ORACLE: dict[str, str] = {}
