@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, language, quality, secrets, token_files
+from tessera.llm import bpe, jaccard_join, language, quality, secrets, token_files
 from tessera.llm.common import new_path, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,6 +17,10 @@ def op1_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, with_ids=False)
 
 
+def op2_jaccard_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
@@ -46,5 +50,5 @@ def op9_language_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_pair_index, op3_secret_scan, op4_quality_ratio, op5_token_files_orc, op9_language_cross_parsing)}
+QUERIES = {f.__name__: f for f in (op1_bpe_pair_index, op2_jaccard_prefix_join, op3_secret_scan, op4_quality_ratio, op5_token_files_orc, op9_language_cross_parsing)}
 ORACLE: dict[str, str] = {}
