@@ -17,14 +17,13 @@ import heapq
 import json
 import re
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import groups_of, texts
+from tessera.llm.common import IdStore, Numbers, groups_of, texts
 
 #: Fixed value: the pattern that splits a text into words before any merge (that of the vocabulary's own library).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -69,17 +68,11 @@ class PairIndexBpe:
         self.forget()
 
     def forget(self) -> None:
-        """An empty word cache: numbers of words, and the ids of word k at ``start[k]`` in ``flat``. Special tokens are words."""
-        self.words: dict[str, int] = {}
-        self.flat, self.start, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.learn(list(self.special), [np.array([i], np.int32) for i in self.special.values()])
-
-    def learn(self, words: list[str], ids: list[np.ndarray]) -> None:
-        if words:
-            self.words.update(zip(words, range(len(self.words), len(self.words) + len(words))))
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(size) - size))
-            self.size, self.flat = np.concatenate((self.size, size)), np.concatenate((self.flat, *ids))
+        """An empty word cache. Special tokens are words."""
+        self.words, self.store = Numbers(), IdStore()
+        self.words.of([list(self.special)])
+        self.words.take()
+        self.store.add(np.fromiter(self.special.values(), np.int32), np.ones(len(self.special), np.int64))
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair of symbols, -1 for pairs that never merge."""
@@ -87,10 +80,8 @@ class PairIndexBpe:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank[at], -1)
 
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each (non-empty) word, by the pair occurrence index over all of them."""
-        if not words:
-            return []
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the (non-empty) words, end to end, and how many each has, by the pair occurrence index over all of them."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         sym = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
         ends = np.cumsum(lengths)
@@ -141,8 +132,7 @@ class PairIndexBpe:
             before = prv[pos]
             note(np.unique(np.concatenate((before[before >= 0], pos[nxt[pos] >= 0]))))
         kept = sym >= 0
-        counts = np.add.reduceat(kept.astype(np.int64), starts)
-        return np.split(sym[kept], np.cumsum(counts)[:-1])
+        return sym[kept], np.add.reduceat(kept.astype(np.int64), starts)
 
     def pieces(self, text: str) -> list[str]:
         return self.split.findall(text) if ODD.search(text) else PLAIN.findall(text)
@@ -153,14 +143,11 @@ class PairIndexBpe:
         split = [[w for p in cut.split(t) for w in ([p] if p in special else self.pieces(p))] if cut and cut.search(t) else self.pieces(t) for t in batch]
         if len(self.words) > CACHE_WORDS:
             self.forget()
-        new = list({w for doc in split for w in doc} - self.words.keys())
-        self.learn(new, self.encode_words([w.encode() for w in new]))
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
-        size = self.size[at]
-        ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        return np.split(ids, np.concatenate(([0], ends))[np.cumsum(counts)][:-1])
+        at, counts = self.words.of(split)
+        new = self.words.take()
+        if new:
+            self.store.add(*self.encode_words([w.encode() for w in new]))
+        return self.store.gather(at, counts)
 
     def decode(self, ids) -> str:
         of = self.bytes_of

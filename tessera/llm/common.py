@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import chain
 
-import pyarrow as pa
+import numpy as np
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Documents are handed to Python code in groups of at most so many bytes of text (one longer text is its own group).
@@ -68,5 +69,42 @@ def groups_of(batches, size: int = GROUP_BYTES):
             yield batch.slice(at)
 
 
-def hex_of(column: Column) -> Column:
-    return F.lower(F.hex(column))
+class Numbers(dict):
+    """Numbers words in the order in which they are first asked for; ``fresh`` holds the words since the last ``take``."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list = []
+
+    def __missing__(self, word) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
+
+    def of(self, split: list[list]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all words of ``split``, end to end, and the size of each part."""
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum())), sizes
+
+    def take(self) -> list:
+        fresh, self.fresh = self.fresh, []
+        return fresh
+
+
+class IdStore:
+    """Token ids of numbered words, end to end."""
+
+    def __init__(self):
+        self.flat, self.start, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(sizes) - sizes))
+        self.size, self.flat = np.concatenate((self.size, sizes)), np.concatenate((self.flat, flat))
+
+    def gather(self, at: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+        """Ids of texts that have ``counts`` words each, numbered ``at``."""
+        size = self.size[at]
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        return np.split(ids, np.concatenate(([0], ends))[np.cumsum(counts)][:-1])
+

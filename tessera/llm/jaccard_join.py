@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import groups_of, texts, written
+from tessera.llm.common import Numbers, groups_of, texts, written
 from tessera.llm.components import components
 
 CACHE_WORDS = 400_000
@@ -47,19 +47,20 @@ class Shingler:
     """Sorted distinct shingle hashes of texts."""
 
     def __init__(self, n: int):
-        self.n, self.known, self.hashes = n, {}, np.empty(0, np.uint64)
+        self.n = n
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.hashes = Numbers(), np.empty(0, np.uint64)
 
     def __call__(self, batch: list[str | None]) -> list[np.ndarray]:
-        split = [t.encode().lower().split() if t else [] for t in batch]  # of bytes: lowers A-Z, cuts at the six ASCII spaces
         if len(self.known) > CACHE_WORDS:
-            self.known, self.hashes = {}, np.empty(0, np.uint64)
-        new = list({w for ws in split for w in ws} - self.known.keys())
-        if new:
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.hashes = np.concatenate((self.hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))))
-        out, get, n = [], self.known.__getitem__, self.n
-        for ws in split:
-            h = self.hashes[np.fromiter(map(get, ws), np.int64, len(ws))]
+            self.forget()
+        flat, sizes = self.known.of([t.encode().lower().split() if t else [] for t in batch])  # of bytes: lowers A-Z, cuts at the six ASCII spaces
+        new = self.known.take()
+        self.hashes = np.concatenate((self.hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))))
+        out, n = [], self.n
+        for h in np.split(self.hashes[flat], np.cumsum(sizes)[:-1]):
             size = min(n, len(h))
             total = np.full(len(h) - size + 1 if size else 0, size, np.uint64)
             for k in range(size):

@@ -20,50 +20,64 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import ODD, PLAIN
-from tessera.llm.common import groups_of, texts
+from tessera.llm.common import IdStore, Numbers, groups_of, texts
 
 #: Schema of the files; ``seq`` is a row's place in its file.
 SCHEMA = "doc_id long, seq long, n_tokens long, ids array<int>"
 #: Words whose ids a worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 300_000
-_open: dict[str, tuple] = {}
+CACHE_WORDS = 800_000
+_open: dict = {}
 
 
-def _encoder(path: str):
-    """The library's tokenizer of this worker and its word cache."""
-    if path not in _open:
+class LibraryEncoder:
+    """The tokenizers library's ids of texts. It encodes each word once, which is then kept; texts with special tokens or characters outside Latin go to it whole."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        own = Tokenizer.from_file(path)
-        own.no_truncation()
-        own.no_padding()
-        _open[path] = own, {}
+        self.own = Tokenizer.from_file(path)
+        self.own.no_truncation()
+        self.own.no_padding()
+        self.specials = [t.content for t in self.own.get_added_tokens_decoder().values()]
+        vocab = self.own.get_vocab()
+        self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)  # a letter of a byte-level token is a byte
+        for token, i in vocab.items():
+            self.bytes_of[i] = len(token)
+        self.words, self.store = Numbers(), IdStore()
+
+    def learn(self, words: list[str], at_once: int = 500) -> None:
+        """Encodes words, many in a call; where each ends among the ids shows in the bytes that tokens stand for."""
+        for part in (words[i : i + 40 * at_once] for i in range(0, len(words), 40 * at_once)):
+            found = self.own.encode_batch_fast([part[i : i + at_once] for i in range(0, len(part), at_once)], is_pretokenized=True, add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, np.int32) for e in found])
+            ends = np.cumsum(np.fromiter(map(len, map(str.encode, part)), np.int64, len(part)))
+            last = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
+            self.store.add(ids, np.diff(last, prepend=0))
+
+    def __call__(self, batch: list[str]) -> list[np.ndarray]:
+        whole = [bool(ODD.search(t)) or any(s in t for s in self.specials) for t in batch]
+        if len(self.words) > CACHE_WORDS:
+            self.words, self.store = Numbers(), IdStore()
+        at, counts = self.words.of([[] if w else PLAIN.findall(t) for t, w in zip(batch, whole)])
+        self.learn(self.words.take())
+        ids = self.store.gather(at, counts)
+        return [np.array(self.own.encode(t, add_special_tokens=False).ids, np.int32) if w else x for t, w, x in zip(batch, whole, ids)]
+
+
+def _encoder(path: str) -> LibraryEncoder:
+    if path not in _open:
+        _open[path] = LibraryEncoder(path)
     return _open[path]
 
 
-def encode_batch(path: str, batch: list[str], specials: tuple[str, ...]) -> list[np.ndarray]:
-    """The library's ids of each text. Words are encoded by it once and then kept; texts with special tokens or characters outside Latin go to it whole."""
-    own, known = _encoder(path)
-    whole = [bool(ODD.search(t)) or any(s in t for s in specials) for t in batch]
-    split = [None if w else PLAIN.findall(t) for t, w in zip(batch, whole)]
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    new = list({w for doc in split if doc for w in doc} - known.keys())
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        known.update(zip(part, [np.array(e.ids, np.uint32).tobytes() for e in own.encode_batch_fast(part, add_special_tokens=False)]))
-    get = known.__getitem__
-    return [np.array(own.encode(t, add_special_tokens=False).ids, np.int32) if w else np.frombuffer(b"".join(map(get, doc)), np.int32) for t, w, doc in zip(batch, whole, split)]
-
-
-def write(df: DataFrame, path: str, vocabulary: str, end_id: int = 0, specials: tuple[str, ...] = ("<|endoftext|>",), id_col: str = "doc_id", text_col: str = "text", row_index_stride: int = 1000, stripe_bytes: int = 64 << 20) -> None:
+def write(df: DataFrame, path: str, vocabulary: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", row_index_stride: int = 1000, stripe_bytes: int = 64 << 20) -> None:
     """Writes each document's ids, ``end_id`` appended, in ascending order of doc_id, to ORC files in ``path``."""
 
     def run(batches):
-        seq = 0
-        for part in groups_of(batches):
-            ids = encode_batch(vocabulary, [t or "" for t in part.column(1).to_pylist()], specials)
+        seq, encode = 0, _encoder(vocabulary)
+        for part in groups_of(batches, 4 << 20):
+            ids = encode([t or "" for t in part.column(1).to_pylist()])
             sizes = np.fromiter((len(x) + 1 for x in ids), np.int64, len(ids))
             ends = np.cumsum(sizes)
             flat = np.concatenate([x for doc in ids for x in (doc, [end_id])]).astype(np.int32) if ids else np.empty(0, np.int32)
