@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, jaccard_join, language, quality, secrets, token_files
+from tessera.llm import bpe, jaccard_join, language, quality, secrets, suffix_dedup, token_files
 from tessera.llm.common import new_path, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -50,5 +50,9 @@ def op9_language_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_pair_index, op2_jaccard_prefix_join, op3_secret_scan, op4_quality_ratio, op5_token_files_orc, op9_language_cross_parsing)}
+def op10_suffix_bucket_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_pair_index, op2_jaccard_prefix_join, op3_secret_scan, op4_quality_ratio, op5_token_files_orc, op9_language_cross_parsing, op10_suffix_bucket_pointer)}
 ORACLE: dict[str, str] = {}

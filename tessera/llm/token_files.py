@@ -90,7 +90,7 @@ def write(df: DataFrame, path: str, vocabulary: str, end_id: int = 0, id_col: st
             seq += len(ids)
 
     rows = texts(df, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SCHEMA)
-    (rows.write.option("compression", "zstd").option("orc.create.index", "true").option("orc.row.index.stride", row_index_stride).option("orc.stripe.size", stripe_bytes)
+    (rows.write.option("compression", "lz4").option("orc.create.index", "true").option("orc.row.index.stride", row_index_stride).option("orc.stripe.size", stripe_bytes)
      .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(path))
 
 
