@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, jaccard_join, language, paragraph_dedup, quality, secrets, suffix_dedup, token_files
+from tessera.llm import bpe, decontaminate, jaccard_join, language, paragraph_dedup, quality, secrets, suffix_dedup, surrogates, token_files
 from tessera.llm.common import new_path, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,6 +39,12 @@ def op4_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("enough")).alias("kept"), "score")
 
 
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = surrogates.replace(table(spark, sf_dir, "documents"), key="a key of the installation's own")
+    count = lambda kind: F.coalesce(F.element_at("kinds", kind), F.lit(0)).cast("long")
+    return found.select("doc_id", "n_entities", *(count(k).alias(f"n_{k}") for k in surrogates.TYPES), "text")
+
+
 def op7_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -62,5 +68,5 @@ def op10_suffix_bucket_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_pair_index, op2_jaccard_prefix_join, op3_secret_scan, op4_quality_ratio, op5_token_files_orc, op7_paragraph_minhash, op8_bm25_decontamination, op9_language_cross_parsing, op10_suffix_bucket_pointer)}
+QUERIES = {f.__name__: f for f in (op1_bpe_pair_index, op2_jaccard_prefix_join, op3_secret_scan, op4_quality_ratio, op5_token_files_orc, op6_pii_surrogates, op7_paragraph_minhash, op8_bm25_decontamination, op9_language_cross_parsing, op10_suffix_bucket_pointer)}
 ORACLE: dict[str, str] = {}
