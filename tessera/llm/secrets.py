@@ -104,3 +104,29 @@ def scan(df: DataFrame, ranks_path: str, pattern: str, most_ratio: float = 1.9,
 
     schema = "doc_id long, found array<struct<kind:string,start:long,end:long>>, base_list string, span_list string, base_sha256 string"
     return texts(df, id_col, text_col).mapInArrow(run, schema)
+
+
+def redact(df: DataFrame, ranks_path: str, pattern: str, most_ratio: float = 1.9, mask: str = "[SECRET]", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns, with each stretch of text that spans cover replaced by ``mask``; null texts stay null."""
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        key = (ranks_path, pattern, most_ratio)
+        if key not in _tests:
+            _tests[key] = RandomRuns(*key)
+        random = _tests[key]
+        for batch in batches:
+            out = []
+            for text in batch.column(at).to_pylist():
+                spans = sorted([(a, b) for a, _, b in base_spans(text or "")] + [(m.start(), m.end()) for m in RUN.finditer(text or "") if random(m.group())])
+                if spans:
+                    pieces, end = [], 0
+                    for a, b in spans:
+                        if a >= end:
+                            pieces += [text[end:a], mask]
+                        end = max(end, b)
+                    text = "".join([*pieces, text[end:]])
+                out.append(text)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+
+    return df.mapInArrow(run, df.schema)
