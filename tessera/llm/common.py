@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from itertools import chain
@@ -69,6 +72,26 @@ def groups_of(batches, size: int = GROUP_BYTES):
             yield batch.slice(at)
 
 
+_held: dict = {}
+
+
+def held(key: tuple, make):
+    """``make()``, kept by a worker for its next tasks. A worker keeps one such object at a time: what an operator has built
+    goes, with its memory, when another operator builds its own."""
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # hands freed memory back where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
+        _held[key] = make()
+    return _held[key]
+
+
+def parted(flat: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """``flat`` cut into parts of the given sizes."""
+    return np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
+
+
 class Numbers(dict):
     """Numbers words in the order in which they are first asked for; ``fresh`` holds the words since the last ``take``."""
 
@@ -106,5 +129,5 @@ class IdStore:
         size = self.size[at]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        return np.split(ids, np.concatenate(([0], ends))[np.cumsum(counts)][:-1])
+        return np.split(ids, np.concatenate(([0], ends))[np.cumsum(counts)][:-1]) if len(counts) else []
 

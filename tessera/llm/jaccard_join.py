@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Numbers, groups_of, texts, written
+from tessera.llm.common import Numbers, groups_of, parted, texts, written
 from tessera.llm.components import components
 
 CACHE_WORDS = 400_000
@@ -63,24 +63,37 @@ class Shingler:
     def forget(self) -> None:
         self.known, self.hashes = Numbers(), np.empty(0, np.uint64)
 
-    def __call__(self, batch: list[str | None]) -> list[np.ndarray]:
-        return self.with_words(batch)[0]
-
-    def with_words(self, batch: list[str | None]) -> tuple[list[np.ndarray], list[int]]:
-        """Shingles, and the number of words, of each text."""
+    def flat(self, batch: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct shingles of all texts end to end (ascending in each), how many each text has, and its number of words."""
         if len(self.known) > CACHE_WORDS:
             self.forget()
-        flat, sizes = self.known.of([t.encode().lower().split() if t else [] for t in batch])  # of bytes: lowers A-Z, cuts at the six ASCII spaces
+        words, sizes = self.known.of([t.encode().lower().split() if t else [] for t in batch])  # of bytes: lowers A-Z, cuts at the six ASCII spaces
         new = self.known.take()
         self.hashes = np.concatenate((self.hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))))
-        out, n = [], self.n
-        for h in np.split(self.hashes[flat], np.cumsum(sizes)[:-1]):
-            size = min(n, len(h))
-            total = np.full(len(h) - size + 1 if size else 0, size, np.uint64)
-            for k in range(size):
-                total = mixed(total * _MIX[1] + h[k : len(h) - size + k + 1])
-            out.append(np.unique(total))
-        return out, sizes.tolist()
+        h, n, ends = self.hashes[words], self.n, np.cumsum(sizes)
+        whole = np.flatnonzero(np.arange(len(h)) + n <= np.repeat(ends, sizes))
+        parts, of = [self._rolled(h, whole, n)], [np.repeat(np.arange(len(sizes)), np.maximum(sizes - n + 1, 0))]
+        for size in range(1, n):  # texts of fewer words are one shingle
+            short = np.flatnonzero(sizes == size)
+            parts.append(self._rolled(h, (ends - sizes)[short], size))
+            of.append(short)
+        found, text = np.concatenate(parts), np.concatenate(of)
+        order = np.lexsort((found, text))
+        found, text = found[order], text[order]
+        keep = np.ones(len(found), bool)
+        keep[1:] = (found[1:] != found[:-1]) | (text[1:] != text[:-1])
+        return found[keep], np.bincount(text[keep], minlength=len(sizes)), sizes
+
+    @staticmethod
+    def _rolled(h: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+        total = np.full(len(starts), size, np.uint64)
+        for k in range(size):
+            total = mixed(total * _MIX[1] + h[starts + k])
+        return total
+
+    def __call__(self, batch: list[str | None]) -> list[np.ndarray]:
+        found, counts, _ = self.flat(batch)
+        return parted(found, counts)
 
 
 def packed(at: np.ndarray) -> bytes:
@@ -177,9 +190,9 @@ def signatures(docs: DataFrame, n: int, percent: int, levels: np.ndarray) -> Dat
     return docs.mapInArrow(run, "doc_id long, n long, class long, grp long, rank long, prefix array<long>, wide array<long>, " + ", ".join(f"m{k} long" for k in range(MAP)))
 
 
-def bit_table(ids: DataFrame, column: str, bits: int) -> np.ndarray:
-    """Map of 2**bits bits, those of the hashed values set; a bound on its size that doesn't depend on the input."""
-    place = F.pmod(F.xxhash64(column), F.lit(1 << bits))
+def bit_table(ids: DataFrame, column: str, bits: int, hashed: bool = True) -> np.ndarray:
+    """Map of 2**bits bits, those of the hashed values (or of values that are small numbers) set; its size doesn't depend on the input."""
+    place = F.pmod(F.xxhash64(column), F.lit(1 << bits)) if hashed else F.col(column)
     rows = ids.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
     table = np.zeros(((1 << bits) // 32768 + 1, 4096), np.uint8)
     for r in rows.collect():
@@ -187,6 +200,12 @@ def bit_table(ids: DataFrame, column: str, bits: int) -> np.ndarray:
     return table
 
 
+def in_table(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which small numbers are set; buckets count from 1, as in the functions that made the map."""
+    bucket, bit = np.where(values > 0, 1 + (values - 1) // 32768, 0), np.where(values > 0, (values - 1) % 32768, 0)
+    return (table[bucket, bit // 8] >> (bit % 8).astype(np.uint8)) & 1 > 0
+
+
 def wanted_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: int, bits: int = 22) -> DataFrame:
     """(class, items array<long>): the shingle sets of the ``wanted`` classes, from their least documents' texts.
 

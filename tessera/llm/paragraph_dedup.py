@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import groups_of, texts, written
 from tessera.llm.components import components
-from tessera.llm.jaccard_join import MAP, Shingler, bit_table, mixed, open_pairs, parity, verified
+from tessera.llm.jaccard_join import MAP, Shingler, bit_table, in_table, mixed, open_pairs, parity, verified
 
 LONGEST = 120
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -52,44 +52,55 @@ def paragraphs(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def bands(items: np.ndarray, count: int, rows: int) -> np.ndarray:
-    """Hashes of the bands of a set's MinHash values."""
-    least = np.array([mixed(items ^ _SEEDS[i]).min() for i in range(count * rows)], np.uint64).reshape(count, rows)
-    total = np.arange(1, count + 1, dtype=np.uint64)
-    for k in range(rows):
-        total = mixed(total * np.uint64(0xC2B2AE3D27D4EB4F) + least[:, k])
-    return total.view(np.int64)
+def bands(items: np.ndarray, starts: np.ndarray, count: int, rows: int) -> np.ndarray:
+    """Hashes of the bands of MinHash values, a row for each set; sets lie end to end in ``items`` and aren't empty."""
+    out = np.empty((len(starts), count), np.uint64)
+    for band in range(count):
+        total = np.full(len(starts), band + 1, np.uint64)
+        for k in range(rows):
+            least = np.minimum.reduceat(mixed(items ^ _SEEDS[band * rows + k]), starts)
+            total = mixed(total * np.uint64(0xC2B2AE3D27D4EB4F) + least)
+        out[:, band] = total
+    return out.view(np.int64)
 
 
-def class_of(items: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(items.tobytes(), seed=len(items)) - (1 << 63)
+def classes_of(items: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A hash of each set, from the sum of its items' hashes and its size."""
+    return mixed(np.add.reduceat(mixed(items * np.uint64(0x9E3779B97F4A7C15)), starts) ^ counts.astype(np.uint64)).view(np.int64)
 
 
 def _pieces(make: Shingler, batch: list[str | None], n: int):
-    """(row, start, end, shingles) of each paragraph of n words or more."""
-    spans = [paragraphs(t) if t else [] for t in batch]
-    flat = [(i, a, b) for i, s in enumerate(spans) for a, b in s]
-    for (i, a, b), items, words in zip(flat, *make.with_words([batch[i][a:b] for i, a, b in flat])):
-        if words >= n:
-            yield i, a, b, items
+    """Paragraphs of n words or more: row, start, end, sets end to end, their starts and sizes."""
+    flat = [(i, a, b) for i, t in enumerate(batch) if t for a, b in paragraphs(t)]
+    items, counts, words = make.flat([batch[i][a:b] for i, a, b in flat])
+    place = np.array(flat, np.int64).reshape(-1, 3)
+    enough = words >= n
+    items = items[np.repeat(enough, counts)]
+    place, counts = place[enough], counts[enough]
+    return place[:, 0], place[:, 1], place[:, 2], items, np.cumsum(counts) - counts, counts
 
 
 def signatures(docs: DataFrame, n: int, count: int, rows: int) -> DataFrame:
     """A row for each paragraph: doc_id, start, stop, class; bands where a task meets the class first. Documents without any have one row without class."""
 
     def run(batches):
-        make, seen = Shingler(n), set()
+        make, seen = Shingler(n), np.empty(0, np.int64)
         for part in groups_of(batches, 4 << 20):
-            ids, out, had = part.column(0).to_pylist(), [], set()
-            for i, a, b, items in _pieces(make, part.column(1).to_pylist(), n):
-                key = class_of(items)
-                out.append((ids[i], a, b, key, None if key in seen else bands(items, count, rows)))
-                if len(seen) < 1_000_000:
-                    seen.add(key)
-                had.add(i)
-            out += [(d, None, None, None, None) for i, d in enumerate(ids) if i not in had]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["doc_id", "start", "stop", "class", "bands"])
+            at, start, stop, items, starts, counts = _pieces(make, part.column(1).to_pylist(), n)
+            bare = np.setdiff1d(np.arange(part.num_rows), at)
+            key = classes_of(items, starts, counts) if len(at) else np.empty(0, np.int64)
+            _, first = np.unique(key, return_index=True)
+            new = np.zeros(len(key), bool)
+            new[first] = ~np.isin(key[first], seen)
+            if len(seen) < 2_000_000:
+                seen = np.concatenate((seen, key[new]))
+            hashed = bands(items[np.repeat(new, counts)], np.cumsum(counts[new]) - counts[new], count, rows) if new.any() else np.empty((0, count), np.int64)
+            offsets = np.concatenate(([0], np.cumsum(new * count), np.full(len(bare), new.sum() * count))).astype(np.int32)
+            mask = np.concatenate((new, np.zeros(len(bare), bool)))
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashed.ravel()), mask=pa.array(~mask))
+            none = pa.nulls(len(bare), pa.int64())
+            long = lambda x: pa.concat_arrays([pa.array(x, pa.int64()), none])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.concatenate((at, bare)))), long(start), long(stop), long(key), lists], names=["doc_id", "start", "stop", "class", "bands"])
 
     return docs.mapInArrow(run, "doc_id long, start long, stop long, class long, bands array<long>")
 
@@ -99,14 +110,21 @@ def wanted_sets(docs: DataFrame, marked: DataFrame, wanted: DataFrame, n: int, b
     one = marked.filter("doc_id is not null").join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc"))
     held = docs.sparkSession.sparkContext.broadcast(bit_table(one, "doc", bits))
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
+    # classes are hashes already: their own low bits say where they are in a second map
+    low = (F.col("class").bitwiseAND(F.lit((1 << bits) - 1))).alias("low")
+    places = docs.sparkSession.sparkContext.broadcast(bit_table(wanted.select(low), "low", bits, hashed=False))
 
     def run(batches):
         make, table = Shingler(n), held.value
+
         for batch in batches:
             bucket, bit = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             hit = (table[bucket, bit // 8] >> (bit % 8).astype(np.uint8)) & 1
             for part in groups_of([batch.filter(pa.array(hit.astype(bool)))], 4 << 20):
-                found = {class_of(items): items for _, _, _, items in _pieces(make, part.column(1).to_pylist(), n)}
+                *_, items, starts, counts = _pieces(make, part.column(1).to_pylist(), n)
+                keys = classes_of(items, starts, counts).tolist() if len(starts) else []
+                hit = in_table(places.value, np.array(keys, np.int64) & ((1 << bits) - 1))
+                found = {k: items[a : a + c] for k, a, c, h in zip(keys, starts.tolist(), counts.tolist(), hit) if h}
                 maps = np.array([parity(mixed(x), 64 * MAP) for x in found.values()], np.uint64).reshape(len(found), MAP)
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([len(x) for x in found.values()], pa.int64()), pa.array([x.view(np.int64) for x in found.values()], pa.list_(pa.int64())), *(pa.array(maps[:, k].view(np.int64)) for k in range(MAP))], names=["class", "n", "items", *(f"m{k}" for k in range(MAP))])
 
