@@ -17,18 +17,19 @@ repeated rows give repeated rows; repeated items count as separate items; empty
 from __future__ import annotations
 
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Numbers, groups_of, texts
+from tessera.llm.common import Numbers, groups_of, held, texts
 
 CACHE_WORDS = 400_000
 #: BM25 constants, items in a block.
 K1, B, BLOCK = 1.2, 0.75, 16
-EDGES = ".,;:!?\"'()[]{}"
+EDGES = string.punctuation + "«»„“”‚‘’…–—¿¡"
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -69,7 +70,8 @@ class Index:
                 score = idf[number] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ws) / lengths.mean()))
                 impact[number, k] = score / score.sum()
             self.blocks.append((at, int(lengths[at : at + BLOCK].max()), impact.max(1), impact))
-        self.parts = [tuple(ngrams([self.terms[w] for w in p], n) for p in question_and_answer(t)) for _, _, t in split]
+        # of parts too short for a share of n-grams to say much, words count
+        self.parts = [tuple(ngrams([self.terms[w] for w in p], n if len(p) >= 3 * n else 1) for p in question_and_answer(t)) for _, _, t in split]
 
 
 class Searcher:
@@ -120,15 +122,8 @@ class Searcher:
             found[item] = (score, q, a)
 
 
-_searchers: dict[tuple, Searcher] = {}
-
-
 def _searcher(items: list[tuple[int, str]], n: int, least_score: float, least_overlap: float) -> Searcher:
-    key = (tuple(items), n, least_score, least_overlap)
-    if key not in _searchers:
-        _searchers.clear()
-        _searchers[key] = Searcher(Index(items, n), least_score, least_overlap)
-    return _searchers[key]
+    return held(("searcher", tuple(items), n, least_score, least_overlap), lambda: Searcher(Index(items, n), least_score, least_overlap))
 
 
 def item_groups(items: DataFrame, most_bytes: int, item_col: str = "item_id", text_col: str = "text"):
@@ -141,7 +136,7 @@ def item_groups(items: DataFrame, most_bytes: int, item_col: str = "item_id", te
         yield sorted((r["item"], r["text"]) for r in chosen.collect())
 
 
-def leaks(df: DataFrame, items: DataFrame, n: int = 3, least_score: float = 0.6, least_overlap: float = 0.7, most_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def leaks(df: DataFrame, items: DataFrame, n: int = 3, least_score: float = 0.6, least_overlap: float = 0.6, most_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of each item that is in a document."""
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     docs, out = texts(df, id_col, text_col), []
@@ -161,7 +156,7 @@ def leaks(df: DataFrame, items: DataFrame, n: int = 3, least_score: float = 0.6,
     return result
 
 
-def clean(df: DataFrame, items: DataFrame, n: int = 3, least_score: float = 0.6, least_overlap: float = 0.7, most_bytes: int = 16 << 20, text_col: str = "text") -> DataFrame:
+def clean(df: DataFrame, items: DataFrame, n: int = 3, least_score: float = 0.6, least_overlap: float = 0.6, most_bytes: int = 16 << 20, text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns, whose text has no item in it."""
     at = df.columns.index(text_col)
     for group in item_groups(items, most_bytes):
