@@ -16,14 +16,13 @@ import hashlib
 import heapq
 import json
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import IdStore, Numbers, groups_of, texts
+from tessera.llm.common import IdStore, Numbers, groups_of, held, texts
 
 #: Fixed value: the pattern that splits a text into words before any merge (that of the vocabulary's own library).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -154,10 +153,12 @@ class PairIndexBpe:
         return b"".join([of[i] for i in (ids.tolist() if isinstance(ids, np.ndarray) else ids)]).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def _coder(path: str) -> PairIndexBpe:
-    with open(path, "rb") as f:
-        return PairIndexBpe(f.read())
+    def make():
+        with open(path, "rb") as f:
+            return PairIndexBpe(f.read())
+
+    return held(("bpe", path), make)
 
 
 def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_text: bool = False) -> DataFrame:
@@ -171,7 +172,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         coder = _coder(vocabulary)
-        for part in groups_of(batches):
+        for part in groups_of(batches, 4 << 20):
             ids = coder.encode_batch([t or "" for t in part.column(1).to_pylist()])
             decoded = [coder.decode(x) for x in ids]
             columns = {

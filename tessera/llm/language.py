@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import groups_of, texts
+from tessera.llm.common import groups_of, held, texts
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Word border in labelled and parsed text.
@@ -136,15 +136,8 @@ def learn(df: DataFrame, usable: Column, lang_col: str = "lang", id_col: str = "
     return labelled
 
 
-_parsers: dict[tuple, CrossParser] = {}
-
-
 def _parser(labelled: dict[str, str]) -> CrossParser:
-    key = tuple(sorted(labelled.items()))
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = CrossParser(labelled)
-    return _parsers[key]
+    return held(("language", tuple(sorted(labelled.items()))), lambda: CrossParser(labelled))
 
 
 def identify(df: DataFrame, labelled: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

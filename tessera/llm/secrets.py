@@ -17,7 +17,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import groups_of, texts
+from tessera.llm.common import groups_of, held, texts
 
 #: Kinds in the order in which spans with the same start are listed.
 KINDS = ("assign", "access", "hex", "random")
@@ -71,7 +71,8 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
-_tests: dict[tuple, RandomRuns] = {}
+def _test(*key) -> RandomRuns:
+    return held(("random", *key), lambda: RandomRuns(*key))
 
 
 def scan(df: DataFrame, ranks_path: str, pattern: str, most_ratio: float = 1.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -81,10 +82,7 @@ def scan(df: DataFrame, ranks_path: str, pattern: str, most_ratio: float = 1.9,
     """
 
     def run(batches):
-        key = (ranks_path, pattern, most_ratio)
-        if key not in _tests:
-            _tests[key] = RandomRuns(*key)
-        random = _tests[key]
+        random = _test(ranks_path, pattern, most_ratio)
         for part in groups_of(batches):
             rows = []
             for text in part.column(1).to_pylist():
@@ -111,10 +109,7 @@ def redact(df: DataFrame, ranks_path: str, pattern: str, most_ratio: float = 1.9
     at = df.columns.index(text_col)
 
     def run(batches):
-        key = (ranks_path, pattern, most_ratio)
-        if key not in _tests:
-            _tests[key] = RandomRuns(*key)
-        random = _tests[key]
+        random = _test(ranks_path, pattern, most_ratio)
         for batch in batches:
             out = []
             for text in batch.column(at).to_pylist():

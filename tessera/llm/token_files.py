@@ -20,13 +20,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import ODD, PLAIN
-from tessera.llm.common import IdStore, Numbers, groups_of, texts
+from tessera.llm.common import IdStore, Numbers, groups_of, held, texts
 
 #: Schema of the files; ``seq`` is a row's place in its file.
 SCHEMA = "doc_id long, seq long, n_tokens long, ids array<int>"
 #: Words whose ids a worker keeps; beyond it the cache starts anew.
 CACHE_WORDS = 800_000
-_open: dict = {}
 
 
 class LibraryEncoder:
@@ -66,9 +65,7 @@ class LibraryEncoder:
 
 
 def _encoder(path: str) -> LibraryEncoder:
-    if path not in _open:
-        _open[path] = LibraryEncoder(path)
-    return _open[path]
+    return held(("library", path), lambda: LibraryEncoder(path))
 
 
 def write(df: DataFrame, path: str, vocabulary: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", row_index_stride: int = 1000, stripe_bytes: int = 64 << 20) -> None:
