@@ -247,24 +247,37 @@ def dedup(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str
 
     posted = dealt.groupBy("block").applyInArrow(post, "block int, bucket int, keys binary, docs_with binary")
     marked = posted.groupBy("bucket").applyInArrow(mark, "block int, bucket int, marks binary")
-    sent = dealt.groupBy("block").cogroup(marked.groupBy("block")).applyInArrow(segments, "block int, bucket int, row binary, start binary, size binary, doc binary, bytes binary")
+    sent = dealt.groupBy("block").cogroup(marked.groupBy("block")).applyInArrow(segments, "block int, bucket int, row binary, start binary, size binary, doc binary, key binary, bytes binary")
     covered = sent.groupBy("bucket").applyInArrow(cover, "block int, row binary, start binary, size binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return dealt.groupBy("block").cogroup(covered.groupBy("block")).applyInArrow(cut, schema)
 
 
-_SEGMENTS = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("row", "start", "size", "doc", "bytes"))])
+_SEGMENTS = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("row", "start", "size", "doc", "key", "bytes"))])
+
+
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n + 1 powers of BASE and of its inverse, kept for later."""
+    if len(_powers[0]) <= n:
+        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            grown = np.full(n + 1 + (n >> 1), base, np.uint64)
+            grown[0] = 1
+            _powers[k] = np.cumprod(grown)
+    return _powers[0][: n + 1], _powers[1][: n + 1]
+
+
+def rows_at(b: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """``width`` bytes from each start, a row each."""
+    return np.lib.stride_tricks.sliding_window_view(b, width)[starts]
 
 
 def _distinct(b: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index of the first of each distinct string, number of each string's); equal hashes are compared byte by byte."""
-    powers = np.empty(len(b) + 1, np.uint64)
-    powers[0] = 1
-    np.cumprod(np.full(len(b), BASE, np.uint64), out=powers[1:])
-    inverse = np.empty(len(b) + 1, np.uint64)
-    inverse[0] = 1
-    np.cumprod(np.full(len(b), pow(BASE, -1, 1 << 64), np.uint64), out=inverse[1:])
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * powers[:-1])))
+    power, inverse = powers(len(b))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[:-1])))
     h = (total[start + size] - total[start]) * inverse[start]
     h = (h ^ (h >> np.uint64(32)) ^ size.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
     _, first, number = np.unique(h, return_index=True, return_inverse=True)
@@ -273,8 +286,7 @@ def _distinct(b: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.nd
     other = np.flatnonzero(np.arange(len(start)) != first[number])
     for part in np.array_split(other, max(1, len(other) * width >> 24)):
         of = first[number[part]]
-        lanes = np.arange(width)
-        same = (size[part] == size[of]) & ((padded[start[part][:, None] + lanes] == padded[start[of][:, None] + lanes]) | (lanes >= size[part][:, None])).all(1)
+        same = (size[part] == size[of]) & ((rows_at(padded, start[part], width) == rows_at(padded, start[of], width)) | (np.arange(width) >= size[part][:, None])).all(1)
         for i in part[~same].tolist():  # equal hash, other bytes: on its own
             number[i] = len(first)
             first = np.append(first, i)
@@ -284,8 +296,8 @@ def _distinct(b: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.nd
 def _segments(block: Block, name: int, code: np.ndarray, mark: np.ndarray, buckets: int, length: int) -> pa.Table:
     out: dict[str, list] = {k: [] for k in _SEGMENTS.names}
 
-    def send(bucket, row, start, size, doc, flat):
-        for k, v in zip(_SEGMENTS.names, (name, bucket, row.astype("<u4").tobytes(), start.astype("<u4").tobytes(), size.astype("<u2").tobytes(), doc.astype("<i8").tobytes(), flat.tobytes())):
+    def send(bucket, row, start, size, doc, key, flat):
+        for k, v in zip(_SEGMENTS.names, (name, bucket, row.astype("<u4").tobytes(), start.astype("<u4").tobytes(), size.astype("<u2").tobytes(), doc.astype("<i8").tobytes(), key.astype("<u4").tobytes(), flat.tobytes())):
             out[k].append(v)
 
     held: list[tuple] = []
@@ -302,13 +314,14 @@ def _segments(block: Block, name: int, code: np.ndarray, mark: np.ndarray, bucke
         start = np.concatenate((first[one], begin))
         size = np.concatenate(((last - first + length)[one], np.full(len(again), length)))
         of = np.concatenate((one, again))
-        held.append((start + base, size, row[of], start - offset[of], bucket[of], np.concatenate((np.zeros(len(one), bool), np.ones(len(again), bool)))))
+        held.append((start + base, size, row[of], start - offset[of], bucket[of], np.concatenate((np.maximum(key[one], 1), np.zeros(len(again), np.uint32)))))
         texts_of.append(b)
         base += len(b)
     if not held:
         return _SEGMENTS.empty_table()
     b = np.concatenate(texts_of)
-    start, size, row, inside, bucket, single = (np.concatenate(x) for x in zip(*held))
+    start, size, row, inside, bucket, key = (np.concatenate(x) for x in zip(*held))
+    single = key == 0
     if not len(start):
         return _SEGMENTS.empty_table()
     _, number = _distinct(b, start, size)
@@ -325,12 +338,12 @@ def _segments(block: Block, name: int, code: np.ndarray, mark: np.ndarray, bucke
     later = order[doc[order] > least]
     same = order[(doc[order] == least)]
     if len(later):
-        send(0, row[later], inside[later], size[later], np.full(len(later), -1), np.empty(0, np.uint8))
+        send(0, row[later], inside[later], size[later], np.full(len(later), -1), key[later], np.empty(0, np.uint8))
     same = same[np.argsort(bucket[same], kind="stable")]
     for part in np.split(same, np.flatnonzero(np.diff(bucket[same])) + 1):
         total = int(size[part].sum())
         flat = b[np.repeat(start[part] - (np.cumsum(size[part]) - size[part]), size[part]) + np.arange(total)]
-        send(int(bucket[part[0]]), row[part], inside[part], size[part], doc[part], flat)
+        send(int(bucket[part[0]]), row[part], inside[part], size[part], doc[part], key[part], flat)
     if len(later):
         # their bucket only passes them on
         out["bucket"][0] = name % buckets
@@ -342,13 +355,13 @@ _SPANS = pa.schema([("block", pa.int32()), ("row", pa.binary()), ("start", pa.bi
 
 def _cover(table: pa.Table, length: int, q: int) -> pa.Table:
     """Stretches of each block's documents whose strings an earlier document has."""
-    parts = {k: [np.frombuffer(x, t) for x in table.column(k).to_pylist()] for k, t in (("row", "<u4"), ("start", "<u4"), ("size", "<u2"), ("doc", "<i8"), ("bytes", np.uint8))}
+    parts = {k: [np.frombuffer(x, t) for x in table.column(k).to_pylist()] for k, t in (("row", "<u4"), ("start", "<u4"), ("size", "<u2"), ("doc", "<i8"), ("key", "<u4"), ("bytes", np.uint8))}
     counts = [len(x) for x in parts["row"]]
     block = np.repeat(np.array(table.column("block").to_pylist(), np.int64), counts)
-    row, start, size, doc = (np.concatenate(parts[k]).astype(np.int64) for k in ("row", "start", "size", "doc"))
+    row, start, size, doc, key = (np.concatenate(parts[k]).astype(np.int64) for k in ("row", "start", "size", "doc", "key"))
     ready = np.repeat([len(x) == 0 for x in parts["bytes"]], counts)
     found = [(block[ready], row[ready], start[ready], size[ready])]
-    block, row, start, size, doc = (x[~ready] for x in (block, row, start, size, doc))
+    block, row, start, size, doc, key = (x[~ready] for x in (block, row, start, size, doc, key))
     if len(row):
         b = np.concatenate(parts["bytes"])
         at = np.cumsum(size) - size
@@ -357,15 +370,18 @@ def _cover(table: pa.Table, length: int, q: int) -> pa.Table:
         np.minimum.at(least, number, doc)
         later = doc > least[number]
         found.append((block[later], row[later], start[later], size[later]))
-        # one segment for each distinct string of bytes; its strings against all others'
-        count = size[first] - length + 1
+        # one segment for each distinct string of bytes, its strings against all others' of the anchor; where an anchor has
+        # but one segment, or its strings came one by one, equal bytes are all there is
+        _, anchor, segments = np.unique(key[first], return_inverse=True, return_counts=True)
+        open_ones = np.flatnonzero((key[first] > 0) & (segments[anchor] > 1))
+        count = size[first][open_ones] - length + 1
         ends = np.cumsum(count)
-        of = np.repeat(np.arange(len(first)), count)
-        step = np.arange(ends[-1]) - np.repeat(ends - count, count)
+        of = np.repeat(open_ones, count)
+        step = np.arange(count.sum()) - np.repeat(ends - count, count)
         position = at[first][of] + step
         order = np.argsort(position, kind="stable")
         position, of, step = position[order], of[order], step[order]
-        alive, bucket = equal_strings(b, position, length, q)
+        alive, bucket = equal_strings(b, position, length, q) if len(position) else (position, position)
         if len(alive):
             where = np.searchsorted(position, alive)
             seg = of[where]
@@ -374,8 +390,7 @@ def _cover(table: pa.Table, length: int, q: int) -> pa.Table:
             head = by[lead][np.cumsum(lead) - 1]
             earlier = by[least[seg[by]] > least[seg[head]]]
             source = head[least[seg[by]] > least[seg[head]]]
-            lanes = np.arange(length)
-            same = np.concatenate([(b[alive[x][:, None] + lanes] == b[alive[y][:, None] + lanes]).all(1) for x, y in zip(np.array_split(earlier, max(1, len(earlier) >> 17)), np.array_split(source, max(1, len(earlier) >> 17)))] or [np.empty(0, bool)])
+            same = np.concatenate([(rows_at(b, alive[x], length) == rows_at(b, alive[y], length)).all(1) for x, y in zip(np.array_split(earlier, max(1, len(earlier) >> 17)), np.array_split(source, max(1, len(earlier) >> 17)))] or [np.empty(0, bool)])
             hit, offset = seg[earlier[same]], step[where[earlier[same]]]
             # in every row that has the segment's bytes in its least document
             holders = np.flatnonzero(doc == least[number])
