@@ -123,7 +123,7 @@ class Keyspace:
 
     def owner_of(self, slot: Column, key: Column) -> Column:
         """Owner of each key, given its slot: pins first, then a balanced search through the ranges; null keys have none."""
-        out = _ladder(slot, sorted((r.lo, r.node) for r in self.ranges))
+        out = slots._step(slot, lambda s: _ladder(s, sorted((r.lo, r.node) for r in self.ranges)))
         for p in reversed(self.pins):
             out = F.when(self.canonical_column(key) == p.value, F.lit(p.node)).otherwise(out)
         return F.when(key.isNotNull(), out)
@@ -134,18 +134,17 @@ class Keyspace:
         if size > 1 and not size & (size - 1) and ordered == [(c.lo, c.no) for c in even_chunks(size)]:
             # equal chunks are the slot's high bits
             return F.shiftrightunsigned(slot.bitwiseXOR(F.lit(LEAST)), 65 - size.bit_length()).cast("int")
-        return _ladder(slot, ordered)
+        return slots._step(slot, lambda s: _ladder(s, ordered))
 
     def with_slot(self, df, key: Column, second: Column | None = None):
         """``df`` with the column ``slot``."""
-        out = slots.with_slot(df, self.key_type, key, self.seed)
-        return out.withColumn("slot", slots.second_slot(self.second_type, second, F.col("slot"))) if second is not None and self.second_type else out
+        return df.withColumn("slot", self.slot_column(key, second))
 
     def owner_column(self, key: Column, second: Column | None = None) -> Column:
-        return slots._step(self.slot_column(key, second), lambda s: self.owner_of(s, key))
+        return self.owner_of(self.slot_column(key, second), key)
 
     def chunk_column(self, key: Column, second: Column | None = None) -> Column:
-        return slots._step(self.slot_column(key, second), self.chunk_of)
+        return self.chunk_of(self.slot_column(key, second))
 
     def owns_column(self, node: int, key: Column, second: Column | None = None) -> Column:
         """Whether ``node`` owns each row: its ranges and pins, without what others have pinned."""

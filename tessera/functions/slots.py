@@ -232,7 +232,7 @@ def _stirred_start(seed: int) -> list[int]:
 
 def word_slot(word: Column, seed: int | Column) -> Column:
     """Slot of a Column of unsigned 32-bit words; the three words are carried through higher-order functions, as each round
-    uses them several times and one flat expression would grow beyond any bound. Over whole tables ``with_slot`` is faster."""
+    uses them several times and one flat expression would grow beyond any bound, not least when a filter on it is pushed down."""
     word = word.cast("long").bitwiseAND(F.lit(MASK))
     there = word.isNotNull()
     if isinstance(seed, int):
@@ -263,24 +263,6 @@ def word_of(kind: str, key: Column) -> Column | None:
     return None
 
 
-def with_slot(df, kind: str, key: Column, seed: int, name: str = "slot"):
-    """``df`` with the slot of a key. Words of integers, dates and timestamps go through a chain of projections, one a round:
-    all in one stage of generated code, each word computed once."""
-    kind = key_type(kind)
-    word = word_of(kind, key)
-    if word is None:
-        return df.withColumn(name, slot(kind, key, seed))
-    a, b, c = (F.lit(v).cast("long") for v in _stirred_start(seed))
-    w = [f"_{name}_{n}" for n in _NAMES]
-    out = df.select("*", word.alias(f"_{name}"))
-    out = out.select("*", _Columns.add(a, F.col(f"_{name}")).alias(w[0]), b.alias(w[1]), c.alias(w[2]))
-    for i, k in enumerate(FINAL):
-        own, before = (i + 2) % 3, (i + 1) % 3
-        new = _Columns.sub(_Columns.xor(F.col(w[own]), F.col(w[before])), _Columns.rot(F.col(w[before]), k))
-        out = out.select(*(x for x in out.columns if x != w[own]), new.alias(w[own]))
-    return out.select(*df.columns, F.when(F.col(f"_{name}").isNotNull(), _assembled(F.col(w[1]), F.col(w[2]))).alias(name))
-
-
 _NAMES = ("a", "b", "c")
 
 

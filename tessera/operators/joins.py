@@ -33,7 +33,7 @@ class Caps:
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size of a plan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def small_enough(df: DataFrame, caps: Caps) -> bool:

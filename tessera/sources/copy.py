@@ -66,8 +66,10 @@ def read_text(spark: SparkSession, path: str, schema: str | T.StructType, delimi
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, delimiter: str = ",", quote: str = '"', escape: str | None = None, null: str = "", header: bool = False) -> DataFrame:
     """COPY FROM in CSV format: quoted fields may hold delimiters, quotes (doubled) and line ends; only unquoted ``null`` is null."""
-    return (spark.read.schema(schema).option("sep", delimiter).option("quote", quote).option("escape", escape or quote).option("nullValue", null).option("emptyValue", "")
-            .option("header", header).option("multiLine", True).option("mode", "FAILFAST").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    empty = "\x01empty"  # a quoted empty field, which the reader would otherwise take for null
+    df = (spark.read.schema(schema).option("sep", delimiter).option("quote", quote).option("escape", escape or quote).option("nullValue", null).option("emptyValue", empty)
+          .option("header", header).option("multiLine", True).option("mode", "FAILFAST").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return df.select(*(F.when(F.col(f.name) == empty, "").otherwise(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema))
 
 
 def write_text(df: DataFrame, path: str, delimiter: str = "\t", null: str = "\\N") -> None:
