@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Documents are handed to Python code in groups of at most so many bytes of text (one longer text is its own group).
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -29,10 +29,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Numbers, groups_of, parted, texts, written
+from tessera.llm.common import Numbers, groups_of, held, parted, texts, written
 from tessera.llm.components import components
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Longs of the parity map.
 MAP = 8
 #: Sets of more shingles have a map of WIDE longs besides, as the small one's bits are soon all used.
@@ -96,6 +96,11 @@ class Shingler:
         return parted(found, counts)
 
 
+def shingler(n: int) -> Shingler:
+    """The worker's, with the words it knows."""
+    return held(("shingler", n), lambda: Shingler(n))
+
+
 def packed(at: np.ndarray) -> bytes:
     """Ascending numbers as gaps of a byte each; a gap of 255 or more takes bytes of 255 first."""
     gaps = np.diff(at, prepend=0)
@@ -122,8 +127,8 @@ def sketch(docs: DataFrame, n: int, bits: int, salts: int = 4, slices: int = 16)
         return pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "salt": pa.array([int(at[:64].sum())], pa.int64()), "gaps": pa.array([packed(at)], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary())})
 
     def run(batches):
-        make, total = Shingler(n), np.zeros(1 << bits, np.uint8)
-        for part in groups_of(batches, 4 << 20):
+        make, total = shingler(n), np.zeros(1 << bits, np.uint8)
+        for part in groups_of(batches):
             at, count = np.unique(np.concatenate([np.empty(0, np.uint64), *make(part.column(1).to_pylist())]) >> np.uint64(64 - bits), return_counts=True)
             at = at.astype(np.int64)
             total[at] = np.minimum(total[at] + count, 255)
@@ -160,10 +165,10 @@ def sketch(docs: DataFrame, n: int, bits: int, salts: int = 4, slices: int = 16)
 def signatures(docs: DataFrame, n: int, percent: int, levels: np.ndarray) -> DataFrame:
     """doc_id, n_shingles, and for sets that aren't empty: class and group hashes, a representative's rank, parity map, prefix."""
     bits = int(len(levels)).bit_length() - 1
-    held = docs.sparkSession.sparkContext.broadcast(levels)  # 2**bits bytes
+    sent = docs.sparkSession.sparkContext.broadcast(levels)  # 2**bits bytes
 
     def run(batches):
-        make, level = Shingler(n), held.value
+        make, level = shingler(n), sent.value
         for part in groups_of(batches):
             rows: dict[str, list] = {k: [] for k in ("n", "class", "grp", "rank", "prefix", "wide")}
             maps = np.zeros((part.num_rows, MAP), np.uint64)
@@ -213,12 +218,12 @@ def wanted_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: int,
     goes in the join.
     """
     ids = classes.join(wanted.distinct(), "class", "left_semi").select("class", "doc")
-    held = docs.sparkSession.sparkContext.broadcast(bit_table(ids, "doc", bits))
+    sent = docs.sparkSession.sparkContext.broadcast(bit_table(ids, "doc", bits))
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
     marked = docs.select("doc_id", "text", F.bitmap_bucket_number(spot).alias("bucket"), F.bitmap_bit_position(spot).alias("bit")).filter("doc_id is not null")
 
     def run(batches):
-        make, table = Shingler(n), held.value
+        make, table = shingler(n), sent.value
         for batch in batches:
             bucket, bit = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             hit = (table[bucket, bit // 8] >> (bit % 8).astype(np.uint8)) & 1

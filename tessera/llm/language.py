@@ -25,7 +25,7 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Word border in labelled and parsed text.
 BORDER = "\x00"
 #: Words whose phrase counts a worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 UNDETERMINED = "und"
 
 
@@ -111,7 +111,7 @@ class CrossParser:
         return names, scores, bits
 
 
-def learn(df: DataFrame, usable: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", most_docs: int = 400, most_chars: int = 60_000) -> dict[str, str]:
+def learn(df: DataFrame, usable: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", most_docs: int = 400, most_chars: int = 40_000) -> dict[str, str]:
     """Labelled text of each language from a bounded sample of the ``usable`` rows.
 
     At most ``most_docs`` documents and ``most_chars`` characters of words a language, chosen by a hash of doc_id; a language

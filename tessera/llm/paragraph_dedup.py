@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import groups_of, texts, written
 from tessera.llm.components import components
-from tessera.llm.jaccard_join import MAP, Shingler, bit_table, in_table, mixed, open_pairs, parity, verified
+from tessera.llm.jaccard_join import MAP, Shingler, bit_table, in_table, mixed, open_pairs, parity, shingler, verified
 
 LONGEST = 120
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -84,8 +84,8 @@ def signatures(docs: DataFrame, n: int, count: int, rows: int) -> DataFrame:
     """A row for each paragraph: doc_id, start, stop, class; bands where a task meets the class first. Documents without any have one row without class."""
 
     def run(batches):
-        make, seen = Shingler(n), np.empty(0, np.int64)
-        for part in groups_of(batches, 4 << 20):
+        make, seen = shingler(n), np.empty(0, np.int64)
+        for part in groups_of(batches):
             at, start, stop, items, starts, counts = _pieces(make, part.column(1).to_pylist(), n)
             bare = np.setdiff1d(np.arange(part.num_rows), at)
             key = classes_of(items, starts, counts) if len(at) else np.empty(0, np.int64)
@@ -115,12 +115,12 @@ def wanted_sets(docs: DataFrame, marked: DataFrame, wanted: DataFrame, n: int, b
     places = docs.sparkSession.sparkContext.broadcast(bit_table(wanted.select(low), "low", bits, hashed=False))
 
     def run(batches):
-        make, table = Shingler(n), held.value
+        make, table = shingler(n), held.value
 
         for batch in batches:
             bucket, bit = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             hit = (table[bucket, bit // 8] >> (bit % 8).astype(np.uint8)) & 1
-            for part in groups_of([batch.filter(pa.array(hit.astype(bool)))], 4 << 20):
+            for part in groups_of([batch.filter(pa.array(hit.astype(bool)))]):
                 *_, items, starts, counts = _pieces(make, part.column(1).to_pylist(), n)
                 keys = classes_of(items, starts, counts).tolist() if len(starts) else []
                 hit = in_table(places.value, np.array(keys, np.int64) & ((1 << bits) - 1))

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import texts
+from tessera.llm.common import held, texts
 
 #: Bytes of an anchor; hash base (odd, so it has an inverse modulo 2**64).
 GRAM = 16
@@ -99,6 +99,7 @@ class Block:
     """The documents of a block in a fixed order, and its anchors chunk by chunk."""
 
     def __init__(self, table: pa.Table, length: int):
+        held(("blocks",), dict)  # whatever another operator holds goes
         table = table.filter(pc.is_valid(table.column("doc_id"))).sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.ids = table.column("doc_id").to_numpy()
         self.texts = [(t or "").encode() for t in table.column("text").to_pylist()]
