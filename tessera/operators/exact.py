@@ -16,11 +16,12 @@ def dec_sum(x: Column, scale: int = 2) -> Column:
 def dec_avg(x: Column, scale: int = 2, digits: int = 16) -> Column:
     """Exact sum over count, rounded half away from zero to ``digits`` places (fewer for sums that leave less room)."""
     total, n = F.sum(x.cast(f"decimal({20 + scale},{scale})")), F.count(x)
-    whole = F.floor(F.abs(total) / n).cast("decimal(22,0)")
+    whole = F.floor(F.abs(total) / n).cast("decimal(21,0)")
     # long division: what is left over the whole part is divided on its own, in types whose quotient keeps its places
     rest = (F.abs(total) - whole * n).cast(f"decimal({18 + scale},{scale})")
-    part = F.round(rest / n.cast("decimal(18,0)"), digits).cast(f"decimal(38,{digits})")
-    return (F.when(total < 0, -1).otherwise(1) * (whole + part)).cast(f"decimal(38,{digits})")
+    part = F.round(rest / n.cast("decimal(18,0)"), digits).cast(f"decimal({digits + 2},{digits})")
+    size = whole + part
+    return F.when(total < 0, -size).otherwise(size).cast(f"decimal(38,{digits})")
 
 
 def float_total(x: Column, strict: bool = False) -> Column:
