@@ -6,6 +6,7 @@ are cast on both sides. Queries run over whole tables.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,14 +31,15 @@ def sample_catalog() -> Catalog:
     return catalog
 
 
-def engine(spark: SparkSession, sf_dir: str) -> Engine:
+def engine(spark: SparkSession, sf_dir: str, tables: list[str] = TABLES) -> Engine:
     out = Engine(spark, sample_catalog())
-    out.register(sf_dir, TABLES)
+    out.register(sf_dir, tables)
     return out
 
 
 def _sql(statement: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: engine(spark, sf_dir).sql(statement)
+    named = [t for t in TABLES if re.search(rf"\b{t}\b", statement)]
+    return lambda spark, sf_dir: engine(spark, sf_dir, named).sql(statement)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -177,34 +179,34 @@ _LINES = _duck_owner("lineitem", "l_orderkey", _ORDER)
 
 
 def slot_of_key(spark, sf_dir):
-    return engine(spark, sf_dir).owners("orders").select("o_orderkey", "slot")
+    return engine(spark, sf_dir, ["orders"]).owners("orders").select("o_orderkey", "slot")
 
 
 def owner_of_key(spark, sf_dir):
-    return engine(spark, sf_dir).owners("orders").select("o_orderkey", "owner", "chunk_no")
+    return engine(spark, sf_dir, ["orders"]).owners("orders").select("o_orderkey", "owner", "chunk_no")
 
 
 def rows_per_owner(spark, sf_dir):
-    return engine(spark, sf_dir).owners("lineitem").groupBy("owner").agg(F.count("*").alias("n"))
+    return engine(spark, sf_dir, ["lineitem"]).owners("lineitem").groupBy("owner").agg(F.count("*").alias("n"))
 
 
 def rows_per_chunk(spark, sf_dir):
-    return engine(spark, sf_dir).owners("lineitem").groupBy("chunk_no").agg(F.count("*").alias("n"))
+    return engine(spark, sf_dir, ["lineitem"]).owners("lineitem").groupBy("chunk_no").agg(F.count("*").alias("n"))
 
 
 def pinned_owner(spark, sf_dir):
-    return engine(spark, sf_dir).owners("customer").select("c_custkey", "owner")
+    return engine(spark, sf_dir, ["customer"]).owners("customer").select("c_custkey", "owner")
 
 
 def owns_rows(spark, sf_dir):
-    e = engine(spark, sf_dir)
+    e = engine(spark, sf_dir, ["customer"])
     owned = [e.spark.table("customer").filter(_CUST.owns_column(n, F.col("c_custkey"))).agg(F.count("*").alias("n"), F.sum("c_custkey").alias("s")).select(F.lit(n).alias("node"), "n", "s") for n in NODES]
     return owned[0].union(owned[1]).union(owned[2])
 
 
 def second_key_spread(spark, sf_dir):
     """Nodes that hold rows of each user when the second key spreads them."""
-    return engine(spark, sf_dir).owners("events").groupBy("user_id").agg(F.countDistinct("owner").alias("nodes"), F.count("*").alias("n"))
+    return engine(spark, sf_dir, ["events"]).owners("events").groupBy("user_id").agg(F.countDistinct("owner").alias("nodes"), F.count("*").alias("n"))
 
 
 def hot_keys(spark, sf_dir):
@@ -212,15 +214,15 @@ def hot_keys(spark, sf_dir):
 
 
 def skew_by_range(spark, sf_dir):
-    return advisor.rows_by_range(engine(spark, sf_dir), "lineitem").select("range_no", "owner", "n")
+    return advisor.rows_by_range(engine(spark, sf_dir, ["lineitem"]), "lineitem").select("range_no", "owner", "n")
 
 
 def split_bound(spark, sf_dir):
-    return advisor.split_bounds(engine(spark, sf_dir), "lineitem").select("range_no", "bound")
+    return advisor.split_bounds(engine(spark, sf_dir, ["lineitem"]), "lineitem").select("range_no", "bound")
 
 
 def verify_rows(spark, sf_dir):
-    return reshard.verify(engine(spark, sf_dir), "orders").select("owner", "n_owned", "n_foreign")
+    return reshard.verify(engine(spark, sf_dir, ["orders"]), "orders").select("owner", "n_owned", "n_foreign")
 
 
 def agg_sum_float_as_decimal(spark, sf_dir):
@@ -291,7 +293,7 @@ def range_series(spark, sf_dir):
 
 
 def lateral_join(spark, sf_dir):
-    return engine(spark, sf_dir).sql("select r_name, x.n from region, lateral (select count(*) as n from nation where n_regionkey = r_regionkey) x")
+    return engine(spark, sf_dir, ["region", "nation"]).sql("select r_name, x.n from region, lateral (select count(*) as n from nation where n_regionkey = r_regionkey) x")
 
 
 def upsert_rows(spark, sf_dir):
