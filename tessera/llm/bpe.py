@@ -26,12 +26,13 @@ from tessera.llm.common import IdStore, Numbers, groups_of, held, texts
 
 #: Fixed value: the pattern that splits a text into words before any merge (that of the vocabulary's own library).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: The same split in the standard library's syntax; right for texts without characters that ODD finds.
-PLAIN = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
+#: The same split in the standard library's syntax, letters first as no other branch can match where they do; right for texts
+#: without characters that ODD finds.
+PLAIN = re.compile(r""" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
 #: Characters outside Latin, or in Latin-1 but classed differently by the two libraries (separators 1C-1F, superscripts, fractions).
 ODD = re.compile("[^\\x00-\\x1b\\x20-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u024f]")
 #: Words whose ids a worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -85,7 +86,7 @@ class PairIndexBpe:
         sym = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
         ends = np.cumsum(lengths)
         starts, n = ends - lengths, len(sym)
-        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         nxt[ends - 1], prv[starts] = -1, -1
         index: dict[int, list[np.ndarray]] = {}
         active: list[int] = []
@@ -172,7 +173,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         coder = _coder(vocabulary)
-        for part in groups_of(batches, 4 << 20):
+        for part in groups_of(batches):
             ids = coder.encode_batch([t or "" for t in part.column(1).to_pylist()])
             decoded = [coder.decode(x) for x in ids]
             columns = {

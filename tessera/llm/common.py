@@ -70,6 +70,13 @@ def groups_of(batches, size: int = GROUP_BYTES):
             total += int(n)
         if at < batch.num_rows:
             yield batch.slice(at)
+    trim()
+
+
+def trim() -> None:
+    """Hands freed memory back, where the C library can."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 _held: dict = {}
@@ -81,8 +88,7 @@ def held(key: tuple, make):
     if key not in _held:
         _held.clear()
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # hands freed memory back where the C library can
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
         _held[key] = make()
     return _held[key]
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Numbers, groups_of, held, texts
 
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 #: BM25 constants, items in a block.
 K1, B, BLOCK = 1.2, 0.75, 16
 EDGES = string.punctuation + "«»„“”‚‘’…–—¿¡"

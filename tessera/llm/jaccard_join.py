@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Numbers, groups_of, held, parted, texts, written
 from tessera.llm.components import components
 
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 #: Longs of the parity map.
 MAP = 8
 #: Sets of more shingles have a map of WIDE longs besides, as the small one's bits are soon all used.

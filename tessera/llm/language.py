@@ -25,7 +25,7 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Word border in labelled and parsed text.
 BORDER = "\x00"
 #: Words whose phrase counts a worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 UNDETERMINED = "und"
 
 
