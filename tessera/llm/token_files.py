@@ -26,6 +26,7 @@ from tessera.llm.common import IdStore, Numbers, groups_of, held, texts
 SCHEMA = "doc_id long, seq long, n_tokens long, ids array<int>"
 #: Words whose ids a worker keeps; beyond it the cache starts anew.
 CACHE_WORDS = 800_000
+_END = "\0\0end"
 
 
 class LibraryEncoder:
@@ -44,6 +45,7 @@ class LibraryEncoder:
         for token, i in vocab.items():
             self.bytes_of[i] = len(token)
         self.words, self.store = Numbers(), IdStore()
+        self._end()
 
     def learn(self, words: list[str], at_once: int = 500) -> None:
         """Encodes words, many in a call; where each ends among the ids shows in the bytes that tokens stand for."""
@@ -54,14 +56,30 @@ class LibraryEncoder:
             last = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
             self.store.add(ids, np.diff(last, prepend=0))
 
-    def __call__(self, batch: list[str]) -> list[np.ndarray]:
+    def flat(self, batch: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, ``end_id`` after each, and how many each has with it."""
         whole = [bool(ODD.search(t)) or any(s in t for s in self.specials) for t in batch]
         if len(self.words) > CACHE_WORDS:
             self.words, self.store = Numbers(), IdStore()
-        at, counts = self.words.of([[] if w else PLAIN.findall(t) for t, w in zip(batch, whole)])
+            self._end()
+        at, counts = self.words.of([[_END] if w else [*PLAIN.findall(t), _END] for t, w in zip(batch, whole)])
         self.learn(self.words.take())
-        ids = self.store.gather(at, counts)
-        return [np.array(self.own.encode(t, add_special_tokens=False).ids, np.int32) if w else x for t, w, x in zip(batch, whole, ids)]
+        self.store.flat[0] = end_id
+        size = self.store.size[at]
+        ends = np.cumsum(size)
+        ids = self.store.flat[np.repeat(self.store.start[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        sizes = np.add.reduceat(size, np.cumsum(counts) - counts) if len(counts) else np.empty(0, np.int64)
+        if any(whole):
+            parts = np.split(ids, np.cumsum(sizes)[:-1])
+            parts = [np.concatenate((np.array(self.own.encode(t, add_special_tokens=False).ids, np.int32), x)) if w else x for t, w, x in zip(batch, whole, parts)]
+            ids, sizes = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        return ids, sizes
+
+    def _end(self) -> None:
+        """The end of a text is a word that no text has, with one id."""
+        self.words.of([[_END]])
+        self.words.take()
+        self.store.add(np.zeros(1, np.int32), np.ones(1, np.int64))
 
 
 def _encoder(path: str) -> LibraryEncoder:
@@ -72,19 +90,16 @@ def write(df: DataFrame, path: str, vocabulary: str, end_id: int = 0, id_col: st
     """Writes each document's ids, ``end_id`` appended, in ascending order of doc_id, to ORC files in ``path``."""
 
     def run(batches):
-        seq, encode = 0, _encoder(vocabulary)
+        seq, encode = 0, _encoder(vocabulary).flat
         for part in groups_of(batches, 4 << 20):
-            ids = encode([t or "" for t in part.column(1).to_pylist()])
-            sizes = np.fromiter((len(x) + 1 for x in ids), np.int64, len(ids))
-            ends = np.cumsum(sizes)
-            flat = np.concatenate([x for doc in ids for x in (doc, [end_id])]).astype(np.int32) if ids else np.empty(0, np.int32)
+            flat, sizes = encode([t or "" for t in part.column(1).to_pylist()], end_id)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": part.column(0),
-                "seq": pa.array(np.arange(seq, seq + len(ids))),
+                "seq": pa.array(np.arange(seq, seq + len(sizes))),
                 "n_tokens": pa.array(sizes),
-                "ids": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(flat)),
+                "ids": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat)),
             })
-            seq += len(ids)
+            seq += len(sizes)
 
     rows = texts(df, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SCHEMA)
     (rows.write.option("compression", "lz4").option("orc.create.index", "true").option("orc.row.index.stride", row_index_stride).option("orc.stripe.size", stripe_bytes)
@@ -108,7 +123,7 @@ def layout(spark: SparkSession, path: str) -> DataFrame:
         for part in batches:
             lists = part.column(3)
             flat, at = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), lists.offsets.to_numpy()
-            sums = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])]
+            sums = [zlib.crc32(flat[a:b]) for a, b in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(sums, pa.int64()), part.column(4)], names=["doc_id", "seq", "n_tokens", "ids_crc32", "file"])
 
     rows = read(spark, path).mapInArrow(run, "doc_id long, seq long, n_tokens long, ids_crc32 long, file string")
