@@ -298,7 +298,7 @@ def _segments(block: Block, name: int, code: np.ndarray, mark: np.ndarray, bucke
     out: dict[str, list] = {k: [] for k in _SEGMENTS.names}
 
     def send(bucket, row, start, size, doc, key, flat):
-        for k, v in zip(_SEGMENTS.names, (name, bucket, row.astype("<u4").tobytes(), start.astype("<u4").tobytes(), size.astype("<u2").tobytes(), doc.astype("<i8").tobytes(), key.astype("<u4").tobytes(), flat.tobytes())):
+        for k, v in zip(_SEGMENTS.names, (name, bucket, row.astype("<u4").tobytes(), start.astype("<u4").tobytes(), size.astype("<u2").tobytes(), doc.astype("<i8").tobytes(), key.astype("<u4").tobytes(), pa.compress(flat.tobytes(), "zstd", asbytes=True) if len(flat) else b"")):
             out[k].append(v)
 
     held: list[tuple] = []
@@ -364,7 +364,7 @@ def _cover(table: pa.Table, length: int, q: int) -> pa.Table:
     found = [(block[ready], row[ready], start[ready], size[ready])]
     block, row, start, size, doc, key = (x[~ready] for x in (block, row, start, size, doc, key))
     if len(row):
-        b = np.concatenate(parts["bytes"])
+        b = np.concatenate([np.frombuffer(pa.decompress(x.tobytes(), int(z.sum(dtype=np.int64)), "zstd", asbytes=True), np.uint8) for x, z in zip(parts["bytes"], parts["size"]) if len(x)])
         at = np.cumsum(size) - size
         first, number = _distinct(b, at, size)
         least = np.full(len(first), np.iinfo(np.int64).max)
