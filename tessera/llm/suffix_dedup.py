@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held, texts
+from tessera.llm.common import held, texts, trim
 
 #: Bytes of an anchor; hash base (odd, so it has an inverse modulo 2**64).
 GRAM = 16
@@ -100,6 +100,7 @@ class Block:
 
     def __init__(self, table: pa.Table, length: int):
         held(("blocks",), dict)  # whatever another operator holds goes
+        trim()
         table = table.filter(pc.is_valid(table.column("doc_id"))).sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.ids = table.column("doc_id").to_numpy()
         self.texts = [(t or "").encode() for t in table.column("text").to_pylist()]
@@ -264,7 +265,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n + 1 powers of BASE and of its inverse, kept for later."""
     if len(_powers[0]) <= n:
         for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            grown = np.full(n + 1 + (n >> 1), base, np.uint64)
+            grown = np.full(n + 1 + (n >> 3), base, np.uint64)
             grown[0] = 1
             _powers[k] = np.cumprod(grown)
     return _powers[0][: n + 1], _powers[1][: n + 1]
@@ -356,6 +357,7 @@ _SPANS = pa.schema([("block", pa.int32()), ("row", pa.binary()), ("start", pa.bi
 
 def _cover(table: pa.Table, length: int, q: int) -> pa.Table:
     """Stretches of each block's documents whose strings an earlier document has."""
+    trim()
     parts = {k: [np.frombuffer(x, t) for x in table.column(k).to_pylist()] for k, t in (("row", "<u4"), ("start", "<u4"), ("size", "<u2"), ("doc", "<i8"), ("key", "<u4"), ("bytes", np.uint8))}
     counts = [len(x) for x in parts["row"]]
     block = np.repeat(np.array(table.column("block").to_pylist(), np.int64), counts)
