@@ -16,14 +16,22 @@ from pyspark.sql import functions as F
 
 #: Documents are handed to Python code in groups of at most so many bytes of text (one longer text is its own group).
 GROUP_BYTES = 2 << 20
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches of at most BATCH_ROWS rows: both sides hold a batch or two of long texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df
+
+
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator works on, under fixed names; all other columns go, so none can clash."""
+    small_batches(df)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
@@ -90,6 +98,8 @@ def held(key: tuple, make):
         gc.collect()
         trim()
         _held[key] = make()
+        gc.collect()  # what only the making took
+        trim()
     return _held[key]
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Numbers, groups_of, held, texts
+from tessera.llm.common import Numbers, groups_of, held, small_batches, texts
 
 CACHE_WORDS = 120_000
 #: BM25 constants, items in a block.
@@ -169,5 +169,5 @@ def clean(df: DataFrame, items: DataFrame, n: int = 3, least_score: float = 0.6,
                     kept = [not found for found in search(part.column(at).to_pylist())]
                     yield part.filter(pa.array(kept, pa.bool_())).rename_columns(batch.schema.names)
 
-        df = df.mapInArrow(run, df.schema)
+        df = small_batches(df).mapInArrow(run, df.schema)
     return df

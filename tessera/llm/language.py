@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import groups_of, held, texts
+from tessera.llm.common import groups_of, held, small_batches, texts
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Word border in labelled and parsed text.
@@ -165,4 +165,4 @@ def accepted(df: DataFrame, labelled: dict[str, str], most_bits: float, text_col
                 kept = [x != UNDETERMINED and b <= most_bits for x, b in zip(names, bits.tolist())]
                 yield part.filter(pa.array(kept, pa.bool_())).rename_columns(batch.schema.names)
 
-    return df.mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(run, df.schema)

@@ -17,7 +17,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import groups_of, held, texts
+from tessera.llm.common import groups_of, held, small_batches, texts
 
 #: Kinds in the order in which spans with the same start are listed.
 KINDS = ("assign", "access", "hex", "random")
@@ -124,4 +124,4 @@ def redact(df: DataFrame, ranks_path: str, pattern: str, most_ratio: float = 1.9
                 out.append(text)
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
 
-    return df.mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(run, df.schema)
