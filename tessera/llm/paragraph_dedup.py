@@ -1,10 +1,16 @@
 """Substring dedup by paragraphs: MinHash banding, exact verification, removal by components.
 
-A paragraph is a line; of a line of more than LONGEST words, it is a stretch up to a sentence's end that the last word's hash
-picks, so the same text is cut alike wherever it stands. Paragraphs with the same set of n-word shingles are one class.
-Bands of MinHash values bring classes together: with 8 bands of 2, two sets of similarity 0.8 meet in some band with a
-chance of 0.9997. Each band value names one class; the others are verified against it (exact Jaccard of the shingle sets),
-and what a band value's classes still differ in is paired up under exact bounds and verified, as in the n-gram Jaccard join.
+A paragraph is a line of up to LONGEST words. A longer line is cut into stretches of about 10 words: after each word whose key
+is the least among the REACH words before and after it. The key hashes the word and the next one, ends of sentences come
+before other words, and nothing further away counts, so the same passage is cut alike wherever it stands in a line, but for
+its first and last words: what precedes its first cut and follows its last is in stretches with other text.
+
+Paragraphs with the same set of n-word shingles are one class. Bands of MinHash values bring classes together: with 8 bands of
+2, two sets of similarity 0.8 meet in some band with a chance of 0.9997. Sets of up to SMALL shingles have the pairs of their
+least hashes instead, as many as it takes for two sets that reach the threshold to have a pair in common: none is missed; sets
+just above SMALL have both, to meet either. Each band value names one class; the others are verified against it (exact Jaccard
+of the shingle sets), and what a band value's classes still differ in is paired up under exact bounds and verified, as in the
+n-gram Jaccard join.
 Verified links form components; all but a component's first paragraph (by doc_id, then place) are removed.
 
 Defined results: null or empty texts have no paragraphs; paragraphs under n words are left alone; rows with a null id keep
@@ -25,31 +31,55 @@ from tessera.llm.common import groups_of, texts, written
 from tessera.llm.components import components
 from tessera.llm.jaccard_join import MAP, Shingler, bit_table, in_table, mixed, open_pairs, parity, shingler, verified
 
-LONGEST = 120
+#: Words of a line that isn't cut, words on both sides that a cut's key is compared with.
+LONGEST, REACH = 25, 4
+#: Shingles of a set that has no bands, but pairs of its least hashes.
+SMALL = 11
+LINE = re.compile(r"[^\n]*\n|[^\n]+")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+CACHE_WORDS = 120_000
 _SEEDS = [np.uint64(xxhash.xxh3_64_intdigest(b"minhash %d" % i)) for i in range(64)]
 
 
+class Hashes(dict):
+    """Hashes of words without their top bit, which is set unless the word ends a sentence."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        n = self[word] = xxhash.xxh3_64_intdigest(word) >> 1 | (0 if word[-1] in b".!?" else 1 << 63)
+        return n
+
+
+_hashes = Hashes()
+
+
+def cuts(text: str, lines: np.ndarray) -> np.ndarray:
+    """Places inside lines of more than LONGEST words where a paragraph ends; ``lines``: where lines end."""
+    words = text.encode().lower().split()  # of bytes: cuts at the six ASCII spaces, as WORD does
+    if len(words) <= LONGEST:
+        return np.empty(0, np.int64)
+    ends = np.fromiter((m.end() for m in WORD.finditer(text)), np.int64, len(words))
+    line = np.searchsorted(lines, ends)
+    h, top = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)), np.uint64(1 << 63)
+    key = h.copy()
+    key[:-1] = (mixed(mixed(h[:-1] & ~top) * np.uint64(0xC2B2AE3D27D4EB4F) + (h[1:] & ~top)) >> np.uint64(1)) | (h[:-1] & top)
+    n = len(words) - 2 * REACH - 1
+    at = slice(REACH, REACH + n)
+    # REACH + 1 words at least are on both sides of a cut in its line
+    least = (line[:n] == line[2 * REACH + 1 :]) & (np.bincount(line)[line[at]] > LONGEST)
+    for d in range(1, REACH + 1):
+        least &= (key[at] < key[REACH - d : REACH - d + n]) & (key[at] <= key[REACH + d : REACH + d + n])
+    return ends[at][least]
+
+
 def paragraphs(text: str) -> list[tuple[int, int]]:
     """(start, end) of each paragraph, in code points, its line end included."""
-    out, at = [], 0
-    for line in text.splitlines(keepends=True) if "\r" not in text and "\x0b" not in text and text.isascii() else re.findall(r"[^\n]*\n|[^\n]+", text):
-        end = at + len(line)
-        if line.count(" ") >= LONGEST:
-            words = list(WORD.finditer(line))
-            if len(words) > LONGEST:
-                begin = at
-                for m in words[:-1]:
-                    w = m.group()
-                    if w[-1] in ".!?" and xxhash.xxh32_intdigest(w) % 4 == 0:
-                        out.append((begin, at + m.end()))
-                        begin = at + m.end()
-                out.append((begin, end))
-                at = end
-                continue
-        out.append((at, end))
-        at = end
-    return out
+    if not text:
+        return []
+    lines = np.fromiter((m.end() for m in LINE.finditer(text)), np.int64)
+    stops = np.sort(np.concatenate((lines, cuts(text, lines)))).tolist()
+    return list(zip([0, *stops[:-1]], stops))
 
 
 def bands(items: np.ndarray, starts: np.ndarray, count: int, rows: int) -> np.ndarray:
@@ -64,6 +94,30 @@ def bands(items: np.ndarray, starts: np.ndarray, count: int, rows: int) -> np.nd
     return out.view(np.int64)
 
 
+def tokens(items: np.ndarray, starts: np.ndarray, counts: np.ndarray, count: int, rows: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """By what sets are brought together, end to end, and how many each has; sets ascend in ``items``."""
+    # sets of a and b >= a shingles share ceil(percent b) of them at least, so that all but so many of the least hold two of these
+    most = SMALL if percent > 50 else 0
+    two = {s: s - o + 2 for s in range(1, 100 * most // percent + 1) if (o := -(-percent * s // 100)) > 1}
+    pairs = {s: p * (p - 1) // 2 for s, p in two.items() if 100 * s // percent > s or -(-percent * s // 100) < s}  # others link with equal sets alone
+    sizes = np.zeros(max(two, default=0) + 1, np.int64)
+    sizes[list(pairs)] = list(pairs.values())
+    small = np.where(counts < len(sizes), sizes[np.minimum(counts, len(sizes) - 1)], 0)
+    banded = counts > most
+    held = small + banded * count
+    at = np.cumsum(held) - held
+    out = np.empty(int(held.sum()), np.int64)
+    for s in pairs:
+        those = np.flatnonzero(counts == s)
+        least = items[starts[those][:, None] + np.arange(two[s])]
+        i, j = np.triu_indices(two[s], 1)
+        out[at[those][:, None] + np.arange(pairs[s])] = mixed(mixed(least[:, i]) * np.uint64(0x9E3779B97F4A7C15) + least[:, j]).view(np.int64)
+    if banded.any():
+        some = counts[banded]
+        out[(at + small)[banded][:, None] + np.arange(count)] = bands(items[np.repeat(banded, counts)], np.cumsum(some) - some, count, rows)
+    return out, held
+
+
 def classes_of(items: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """A hash of each set, from the sum of its items' hashes and its size."""
     return mixed(np.add.reduceat(mixed(items * np.uint64(0x9E3779B97F4A7C15)), starts) ^ counts.astype(np.uint64)).view(np.int64)
@@ -80,7 +134,7 @@ def _pieces(make: Shingler, batch: list[str | None], n: int):
     return place[:, 0], place[:, 1], place[:, 2], items, np.cumsum(counts) - counts, counts
 
 
-def signatures(docs: DataFrame, n: int, count: int, rows: int) -> DataFrame:
+def signatures(docs: DataFrame, n: int, count: int, rows: int, percent: int) -> DataFrame:
     """A row for each paragraph: doc_id, start, stop, class; bands where a task meets the class first. Documents without any have one row without class."""
 
     def run(batches):
@@ -94,10 +148,13 @@ def signatures(docs: DataFrame, n: int, count: int, rows: int) -> DataFrame:
             new[first] = ~np.isin(key[first], seen)
             if len(seen) < 2_000_000:
                 seen = np.concatenate((seen, key[new]))
-            hashed = bands(items[np.repeat(new, counts)], np.cumsum(counts[new]) - counts[new], count, rows) if new.any() else np.empty((0, count), np.int64)
-            offsets = np.concatenate(([0], np.cumsum(new * count), np.full(len(bare), new.sum() * count))).astype(np.int32)
+            some = counts[new]
+            hashed, sizes = tokens(items[np.repeat(new, counts)], np.cumsum(some) - some, some, count, rows, percent)
+            held = np.zeros(len(key) + len(bare), np.int64)
+            held[np.flatnonzero(new)] = sizes
+            offsets = np.concatenate(([0], np.cumsum(held))).astype(np.int32)
             mask = np.concatenate((new, np.zeros(len(bare), bool)))
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashed.ravel()), mask=pa.array(~mask))
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashed), mask=pa.array(~mask))
             none = pa.nulls(len(bare), pa.int64())
             long = lambda x: pa.concat_arrays([pa.array(x, pa.int64()), none])
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.concatenate((at, bare)))), long(start), long(stop), long(key), lists], names=["doc_id", "start", "stop", "class", "bands"])
@@ -136,7 +193,7 @@ def wanted_sets(docs: DataFrame, marked: DataFrame, wanted: DataFrame, n: int, b
 def dedup(df: DataFrame, n: int = 5, percent: int = 80, count: int = 8, rows: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_paragraphs (of n words or more), n_removed and removed (array of start and stop, code points) of each document."""
     docs = texts(df, id_col, text_col)
-    marked = written(signatures(docs, n, count, rows), "paragraphs")
+    marked = written(signatures(docs, n, count, rows, percent), "paragraphs")
     posts = marked.filter("doc_id is not null and bands is not null").select("class", F.explode("bands").alias("token"))
     shared = posts.groupBy("token").agg(F.min("class").alias("first"), F.max("class").alias("last")).filter("first <> last").select("token", "first")
     met = written(posts.join(shared, "token").distinct(), "postings")

@@ -106,3 +106,41 @@ def test_paragraph_dedup_odd_rows(odd, empty):
     got = {r.doc_id: r for r in paragraph_dedup.dedup(odd).collect()}
     assert got[5].n_removed == 3 and got[1].n_paragraphs == got[2].n_paragraphs == 0 and got[None].n_removed == 0
     assert paragraph_dedup.dedup(empty).collect() == []
+
+
+def prose(r, n):
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9))) + r.choice(["", "", "", "", "", ",", "."]) for _ in range(n)]
+    return " ".join(words)
+
+
+def test_passages_inside_longer_lines_are_found(spark):
+    r = random.Random(11)
+    rows, planted = [], []
+    for k in range(150):
+        passage = prose(r, 50)
+        for d in (2 * k, 2 * k + 1):
+            before = prose(r, r.randrange(5, 60)) + " "
+            rows.append((d, before + passage + " " + prose(r, r.randrange(5, 60))))
+        planted.append((2 * k + 1, len(before), len(before) + len(passage)))
+    got = {x.doc_id: x.removed for x in paragraph_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    covered = [sum(len(rows[d][1][max(a, s.start) : min(b, s.stop)].split()) for s in got[d] if s.start < b and s.stop > a) / 50 for d, a, b in planted]
+    assert sum(c > 0 for c in covered) >= 0.95 * len(covered) and sum(covered) / len(covered) > 0.6
+    assert not any(got[2 * k] for k in range(150))
+
+
+def test_small_sets_that_reach_the_threshold_share_a_token():
+    import numpy as np
+
+    r = random.Random(3)
+    for percent in (80, 67, 95):
+        for _ in range(3000):
+            a = set(r.sample(range(1 << 40), r.randrange(1, paragraph_dedup.SMALL + 6)))
+            b = set(a)
+            for _ in range(r.randrange(1, 4)):
+                b ^= {r.choice([r.choice(sorted(a)), r.randrange(1 << 40)])}
+            if not b or min(len(a), len(b)) > paragraph_dedup.SMALL or 100 * len(a & b) < percent * len(a | b) or a == b:
+                continue
+            items = np.array(sorted(a) + sorted(b), np.uint64)
+            counts = np.array([len(a), len(b)])
+            found, held = paragraph_dedup.tokens(items, np.cumsum(counts) - counts, counts, 8, 2, percent)
+            assert set(found[: held[0]].tolist()) & set(found[held[0] :].tolist())
