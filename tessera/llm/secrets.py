@@ -2,7 +2,9 @@
 
 Random strings cut into many short tokens. A run of key characters whose characters per token under a public vocabulary
 (tiktoken ranks) fall below a ratio is reported as ``random``, after known digests and identifiers are excluded: hex runs of
-digest length, UUIDs, dates, version and decimal numbers, dotted or slashed paths of plain words.
+digest length, UUIDs, rulers, dates and other numbers, paths and identifiers of plain words. Of a run of letter groups and
+digit groups the letter groups alone are judged, by the same ratio: words reach it, random letters don't, whatever their number
+or length. Runs of fewer than 20 key characters aren't tested, as few tokens say little.
 
 Defined results: a null text counts as empty; repeated rows give repeated rows; a null id stays null. Texts are scanned
 whole. Spans are in code points, end exclusive.
@@ -33,7 +35,8 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGESTS = {32, 40, 48, 56, 64, 96, 128}
 HEX_RUN = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 UUID = re.compile(r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}")
-PLAIN_PARTS = re.compile(r"(?:[A-Za-z]{1,24}|\d+)(?:[/_=+-]+(?:[A-Za-z]{1,24}|\d+))*[/_=+-]*")
+PLAIN_PARTS = re.compile(r"[/_=+-]*(?:[A-Za-z]+|\d+)(?:[/_=+-]+(?:[A-Za-z]+|\d+))*[/_=+-]*")
+LETTERS = re.compile(r"[A-Za-z]+")
 RULER = re.compile(r"(.)\1+|[/_=+-]+")
 
 
@@ -51,7 +54,10 @@ class RandomRuns:
     def excluded(self, run: str) -> bool:
         if HEX_RUN.fullmatch(run) and len(run) in DIGESTS or UUID.fullmatch(run) or RULER.fullmatch(run):
             return True
-        return bool(PLAIN_PARTS.fullmatch(run)) and not (any(c.isupper() for c in run[1:]) and any(c.islower() for c in run) and any(c.isdigit() for c in run))
+        if not PLAIN_PARTS.fullmatch(run):
+            return False
+        words = LETTERS.findall(run)
+        return sum(map(len, words)) >= self.most * sum(len(self.encoding.encode_ordinary(w)) for w in words)
 
     def __call__(self, run: str) -> bool:
         return not self.excluded(run) and len(run) < self.most * len(self.encoding.encode_ordinary(run))

@@ -43,3 +43,15 @@ def test_redact_keeps_rows_and_columns(odd):
 
 def test_empty_table(empty):
     assert scan(empty).collect() == []
+
+
+def test_random_letters_are_found_whatever_their_groups():
+    import random
+    from string import ascii_letters, ascii_uppercase
+
+    r, test = random.Random(5), secrets.RandomRuns(RANKS, public_tokenizers.PATTERN, 1.9)
+    word = lambda letters, n: "".join(r.choices(letters, k=n))
+    for make in (lambda: word(ascii_letters, 20), lambda: word(ascii_uppercase, 24), lambda: "-".join(word(ascii_letters, 8) for _ in range(4)), lambda: "/".join(word(ascii_letters, 6) for _ in range(5))):
+        assert sum(test(make()) for _ in range(200)) >= 190
+    for plain in ("internationalization_of_documents", "/usr/local/share/python/site-packages", "Donaudampfschifffahrtsgesellschaft", "report-2024-01-02-final-version", "2024-01-02-2024-03-04-05", "getElementsByClassNameFromDocument", "THE_MAXIMUM_NUMBER_OF_RETRIES"):
+        assert not test(plain)
