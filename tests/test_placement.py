@@ -189,6 +189,7 @@ def test_advice():
 
 def test_stripes():
     assert reshard.stripe_sql("s", 5, 10_000) == "ALTER SEQUENCE s INCREMENT BY 1024 RESTART WITH 10245"
+    assert reshard.stripe_sql("s", 5, 10_245).endswith("RESTART WITH 11269")
     assert (10245 - 5) % 1024 == 0
 
 
