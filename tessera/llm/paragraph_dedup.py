@@ -11,7 +11,8 @@ least hashes instead, as many as it takes for two sets that reach the threshold
 just above SMALL have both, to meet either. Each band value names one class; the others are verified against it (exact Jaccard
 of the shingle sets), and what a band value's classes still differ in is paired up under exact bounds and verified, as in the
 n-gram Jaccard join.
-Verified links form components; all but a component's first paragraph (by doc_id, then place) are removed.
+Verified links form components; all but a component's first paragraph (by doc_id, then place) are copies.
+Copies go where a run of them, with nothing but paragraphs under n words between, reaches ``least_words`` words (0: all go).
 
 Defined results: null or empty texts have no paragraphs; paragraphs under n words are left alone; rows with a null id keep
 all their text; rows that repeat a doc_id are one document; an empty table gives no rows.
@@ -24,7 +25,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import groups_of, texts, written
@@ -124,23 +125,23 @@ def classes_of(items: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.
 
 
 def _pieces(make: Shingler, batch: list[str | None], n: int):
-    """Paragraphs of n words or more: row, start, end, sets end to end, their starts and sizes."""
+    """Paragraphs of n words or more: row, start, end, words, sets end to end, their starts and sizes."""
     flat = [(i, a, b) for i, t in enumerate(batch) if t for a, b in paragraphs(t)]
     items, counts, words = make.flat([batch[i][a:b] for i, a, b in flat])
     place = np.array(flat, np.int64).reshape(-1, 3)
     enough = words >= n
     items = items[np.repeat(enough, counts)]
     place, counts = place[enough], counts[enough]
-    return place[:, 0], place[:, 1], place[:, 2], items, np.cumsum(counts) - counts, counts
+    return place[:, 0], place[:, 1], place[:, 2], words[enough], items, np.cumsum(counts) - counts, counts
 
 
 def signatures(docs: DataFrame, n: int, count: int, rows: int, percent: int) -> DataFrame:
-    """A row for each paragraph: doc_id, start, stop, class; bands where a task meets the class first. Documents without any have one row without class."""
+    """A row for each paragraph: doc_id, start, stop, nth (in its document), words, class; bands where a task meets the class first. Documents without any have one row without class."""
 
     def run(batches):
         make, seen = shingler(n), np.empty(0, np.int64)
         for part in groups_of(batches):
-            at, start, stop, items, starts, counts = _pieces(make, part.column(1).to_pylist(), n)
+            at, start, stop, words, items, starts, counts = _pieces(make, part.column(1).to_pylist(), n)
             bare = np.setdiff1d(np.arange(part.num_rows), at)
             key = classes_of(items, starts, counts) if len(at) else np.empty(0, np.int64)
             _, first = np.unique(key, return_index=True)
@@ -157,9 +158,9 @@ def signatures(docs: DataFrame, n: int, count: int, rows: int, percent: int) ->
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashed), mask=pa.array(~mask))
             none = pa.nulls(len(bare), pa.int64())
             long = lambda x: pa.concat_arrays([pa.array(x, pa.int64()), none])
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.concatenate((at, bare)))), long(start), long(stop), long(key), lists], names=["doc_id", "start", "stop", "class", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.concatenate((at, bare)))), long(start), long(stop), long(np.arange(len(at)) - np.searchsorted(at, at)), long(words), long(key), lists], names=["doc_id", "start", "stop", "nth", "words", "class", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, start long, stop long, class long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, start long, stop long, nth long, words long, class long, bands array<long>")
 
 
 def wanted_sets(docs: DataFrame, marked: DataFrame, wanted: DataFrame, n: int, bits: int = 22) -> DataFrame:
@@ -190,8 +191,18 @@ def wanted_sets(docs: DataFrame, marked: DataFrame, wanted: DataFrame, n: int, b
     return found.join(wanted, "class", "left_semi").dropDuplicates(["class"])
 
 
-def dedup(df: DataFrame, n: int = 5, percent: int = 80, count: int = 8, rows: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_paragraphs (of n words or more), n_removed and removed (array of start and stop, code points) of each document."""
+def in_long_runs(spans: DataFrame, least_words: int) -> DataFrame:
+    """Of ``spans`` (doc_id, start, nth, words) those in runs of paragraphs that follow each other, of so many words in all."""
+    island = F.col("nth") - F.row_number().over(Window.partitionBy("doc_id").orderBy("nth", "start"))
+    total = F.sum("words").over(Window.partitionBy("doc_id", "island"))
+    return spans.withColumn("island", island).withColumn("total", total).filter(F.col("total") >= least_words).drop("island", "total")
+
+
+def dedup(df: DataFrame, n: int = 5, percent: int = 80, count: int = 8, rows: int = 2, least_words: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_paragraphs (of n words or more), n_removed and removed (array of start and stop, code points) of each document.
+
+    ``least_words``: copies are removed where they follow each other with so many words in all; lone short ones stay.
+    """
     docs = texts(df, id_col, text_col)
     marked = written(signatures(docs, n, count, rows, percent), "paragraphs")
     posts = marked.filter("doc_id is not null and bands is not null").select("class", F.explode("bands").alias("token"))
@@ -207,10 +218,11 @@ def dedup(df: DataFrame, n: int = 5, percent: int = 80, count: int = 8, rows: in
     found = stars.union(verified(rest, items, percent))
     roots = components(found)
 
-    named = marked.filter("class is not null and doc_id is not null").select("doc_id", "start", "stop", "class").distinct().join(roots.withColumnRenamed("node", "class"), "class", "left").select("doc_id", "start", "stop", F.coalesce("root", "class").alias("root"))
+    named = marked.filter("class is not null and doc_id is not null").select("doc_id", "start", "stop", "nth", "words", "class").distinct().join(roots.withColumnRenamed("node", "class"), "class", "left").select("doc_id", "start", "stop", "nth", "words", F.coalesce("root", "class").alias("root"))
     place = F.struct("doc_id", "start")
     first = named.groupBy("root").agg(F.min(place).alias("kept"), F.count("*").alias("held")).filter("held > 1").select("root", "kept")
-    gone = named.join(first, "root").filter(place != F.col("kept")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("removed"))
+    copies = named.join(first, "root").filter(place != F.col("kept"))
+    gone = (in_long_runs(copies, least_words) if least_words else copies).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("removed"))
     counts = marked.groupBy("doc_id").agg(F.count("class").alias("n_paragraphs"))
     none = F.array().cast("array<struct<start:long,stop:long>>")
     return counts.join(gone, "doc_id", "left").select("doc_id", "n_paragraphs", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", none).alias("removed"))

@@ -10,6 +10,8 @@ from tessera.llm import bpe, decontaminate, jaccard_join, language, paragraph_de
 from tessera.llm.common import new_path, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+#: A passage of 50 words in other text has about 38 of them, its first and last ones not, in whole units.
+REPEATED_WORDS = 30
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -46,7 +48,7 @@ def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraph_dedup.dedup(table(spark, sf_dir, "documents"))
+    return paragraph_dedup.dedup(table(spark, sf_dir, "documents"), least_words=REPEATED_WORDS)
 
 
 def op8_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,6 +128,16 @@ def test_passages_inside_longer_lines_are_found(spark):
     assert not any(got[2 * k] for k in range(150))
 
 
+def test_short_repeats_stay_and_runs_go(spark):
+    r = random.Random(5)
+    line, block = prose(r, 12), "\n".join(prose(r, 12) for _ in range(3)) + "\nAs.\n" + prose(r, 12)
+    rows = [(1, f"{line}\n{prose(r, 20)}\n{block}"), (2, f"{prose(r, 20)}\n{line}\n{prose(r, 20)}"), (3, f"{block}\n{prose(r, 20)}\n{line}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.n_removed for x in paragraph_dedup.dedup(docs, least_words=30).collect()}
+    assert got == {1: 0, 2: 0, 3: 4}
+    assert {x.doc_id: x.n_removed for x in paragraph_dedup.dedup(docs).collect()} == {1: 0, 2: 1, 3: 5}
+
+
 def test_small_sets_that_reach_the_threshold_share_a_token():
     import numpy as np
 
