@@ -33,3 +33,10 @@ def test_stages_keep_the_columns(spark, odd):
         out = stage(spark, odd.select("doc_id", "text", "lang", "source", "n_chars"), "/root/testdata/sf0.001")
         assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         out.collect()
+
+
+def test_rows_that_share_a_doc_id_are_judged_by_their_texts(spark):
+    x, y = (" ".join(f"{w}{k}" for k in range(30)) for w in "xy")
+    docs = spark.createDataFrame([(1, x), (5, x), (5, y), (None, x)], "doc_id long, text string")
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, x), (5, y), (None, x)]))
