@@ -11,7 +11,7 @@ The index is sent to all tasks; if the items exceed ``most_bytes``, they are ind
 size, each of which passes over the documents.
 
 Defined results: null or empty texts and items without words match nothing; rows with a null id give rows with a null id;
-repeated rows give repeated rows; repeated items count as separate items; empty tables give no rows.
+items with a null id count and are reported with a null item_id; repeated rows give repeated rows; repeated items count as separate items; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ def ngrams(words: list, n: int) -> set[tuple]:
 
 class Index:
     def __init__(self, items: list[tuple[int, str]], n: int):
-        split = sorted(((i, words_of(t), t) for i, t in items), key=lambda x: (len(x[1]), x[0]))
+        split = sorted(((i, words_of(t), t) for i, t in items), key=lambda x: (len(x[1]), x[0] is None, x[0] or 0))
         split = [x for x in split if x[1]]
         self.n, self.ids = n, [i for i, _, _ in split]
         self.terms: dict[str, int] = {}
@@ -111,7 +111,7 @@ class Searcher:
                 score = impact[np.unique(window)].sum(0)
                 for item in np.flatnonzero(score >= self.least - 1e-6).tolist():
                     self.verify(found[of[k]], at + item, float(score[item]), window)
-        return [sorted((index.ids[i], *x) for i, x in f.items()) for f in found]
+        return [[(index.ids[i], *x) for i, x in sorted(f.items())] for f in found]
 
     def verify(self, found: dict, item: int, score: float, window: np.ndarray) -> None:
         question, answer = self.index.parts[item]
@@ -128,12 +128,12 @@ def _searcher(items: list[tuple[int, str]], n: int, least_score: float, least_ov
 
 def item_groups(items: DataFrame, most_bytes: int, item_col: str = "item_id", text_col: str = "text"):
     """Lists of (item, text), each of about ``most_bytes`` at most."""
-    rows = items.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).filter("item is not null and text is not null")
+    rows = items.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).filter("text is not null")
     size = rows.select(F.sum(F.octet_length("text") + 16).alias("s")).first()["s"] or 0
     groups = -(-size // most_bytes)
     for g in range(groups):
         chosen = rows if groups == 1 else rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(groups)) == g)
-        yield sorted((r["item"], r["text"]) for r in chosen.collect())
+        yield sorted(((r["item"], r["text"]) for r in chosen.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
 def leaks(df: DataFrame, items: DataFrame, n: int = 3, least_score: float = 0.6, least_overlap: float = 0.6, most_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

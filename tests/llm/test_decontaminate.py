@@ -29,3 +29,11 @@ def test_odd_rows(spark, odd, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.leaks(odd, none).collect() == [] and decontaminate.leaks(empty, items).collect() == []
     assert decontaminate.clean(odd, none).count() == odd.count()
+
+
+def test_items_with_a_null_id_count(spark):
+    text = "What is the name of the small river behind the old mill? It is the Wend."
+    docs = spark.createDataFrame([(1, f"some words before. {text} some words after."), (2, "nothing of it here")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, text), (7, "Which bird sings at night in the garden of roses? The nightingale does.")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()] == [(1, None)]
+    assert [r.doc_id for r in decontaminate.clean(docs, items).collect()] == [2]
