@@ -5,7 +5,7 @@ from zlib import crc32
 from pyspark.sql import functions as F
 
 from tessera.llm import language, quality
-from tessera.llm.queries import fold
+from tessera.llm.queries import QUERIES, fold
 
 
 def base(text):
@@ -54,6 +54,45 @@ def test_quality_keeps_good_and_drops_bad(spark):
     assert share[1] > 0.97 and share[0] < 0.1
 
 
+def test_quality_keeps_good_documents_it_has_not_seen(spark):
+    """Trusted documents of one half set the threshold; good ones of the other half aren't in the target."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    half = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    joined = quality.assess(docs, labels.filter(half)).join(labels.filter(~half), "doc_id").filter("n_words >= 50 and toxic = 0")
+    share = {r.quality: r.s for r in joined.groupBy("quality").agg(F.avg(F.col("enough").cast("int")).alias("s")).collect()}
+    assert share[1] > 0.95 and share[0] < 0.1
+
+
+def test_threshold_equals_brute_force(spark, small):
+    import numpy as np
+
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    trusted, docs = quality.trusted_ids(labels), small.select("doc_id", "text")
+    fold = {r.doc_id: r.fold for r in trusted.collect()}
+    counts = quality.count(docs, trusted, 12)
+    words, grams = quality.Words(), {}
+    for r in small.collect():
+        for x in words.number([(r.text or "").lower().encode().split()]):
+            grams[r.doc_id] = quality.buckets_of(words.hashes[x], 12).astype(int).tolist() if len(x) else []
+    raw = np.bincount([b for g in grams.values() for b in g], minlength=1 << 12)
+    assert counts[0].tolist() == raw.tolist()
+    scores = []
+    for d, k in fold.items():
+        if grams.get(d):
+            target = np.bincount([b for e, g in grams.items() if fold.get(e, k) != k for b in g], minlength=1 << 12)
+            scores.append((np.log((target + 1) / (target + 1).sum()) - np.log((raw + 1) / (raw + 1).sum()))[grams[d]].mean())
+    assert abs(quality.threshold(docs, trusted, counts, 0.05) - np.quantile(scores, 0.05)) < 1e-9
+
+
+def test_registered_quality_query(spark):
+    sf = "/root/testdata/sf0.001"
+    score = {r.doc_id: r.enough for r in quality.assess(*(spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))).collect()}
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in QUERIES["op4_quality_ratio"](spark, sf).collect():
+        n, *_, again = base(rows[r.doc_id])
+        assert r.base_failed == (n < 50 or 100 * again > 50 * n) and r.kept == (not r.base_failed and score[r.doc_id])
+
+
 def test_quality_without_labels_or_documents(spark, small, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.assess(small, none).filter("n_words > 0 and not enough").count() == 0
