@@ -65,12 +65,23 @@ class Shingler:
 
     def flat(self, batch: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct shingles of all texts end to end (ascending in each), how many each text has, and its number of words."""
+        words, sizes = self.numbered([t.encode().lower().split() if t else [] for t in batch])  # of bytes: lowers A-Z, cuts at the six ASCII spaces
+        return *self.sets(self.hashes[words], sizes), sizes
+
+    def numbered(self, split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all words, end to end, at which ``hashes`` has their hashes, and how many words each text has."""
         if len(self.known) > CACHE_WORDS:
             self.forget()
-        words, sizes = self.known.of([t.encode().lower().split() if t else [] for t in batch])  # of bytes: lowers A-Z, cuts at the six ASCII spaces
-        new = self.known.take()
+        words, sizes = self.known.of(split)
+        self.learn(self.known.take())
+        return words, sizes
+
+    def learn(self, new: list[bytes]) -> None:
         self.hashes = np.concatenate((self.hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))))
-        h, n, ends = self.hashes[words], self.n, np.cumsum(sizes)
+
+    def sets(self, h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct shingles of texts of so many words, whose hashes are ``h``, and how many each text has."""
+        n, ends = self.n, np.cumsum(sizes)
         whole = np.flatnonzero(np.arange(len(h)) + n <= np.repeat(ends, sizes))
         parts, of = [self._rolled(h, whole, n)], [np.repeat(np.arange(len(sizes)), np.maximum(sizes - n + 1, 0))]
         for size in range(1, n):  # texts of fewer words are one shingle
@@ -82,7 +93,7 @@ class Shingler:
         found, text = found[order], text[order]
         keep = np.ones(len(found), bool)
         keep[1:] = (found[1:] != found[:-1]) | (text[1:] != text[:-1])
-        return found[keep], np.bincount(text[keep], minlength=len(sizes)), sizes
+        return found[keep], np.bincount(text[keep], minlength=len(sizes))
 
     @staticmethod
     def _rolled(h: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:

@@ -20,67 +20,78 @@ all their text; rows that repeat a doc_id are one document; an empty table gives
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import groups_of, texts, written
+from tessera.llm.common import groups_of, held, texts, written
 from tessera.llm.components import components
-from tessera.llm.jaccard_join import MAP, Shingler, bit_table, in_table, mixed, open_pairs, parity, shingler, verified
+from tessera.llm.jaccard_join import MAP, Shingler, bit_table, in_table, mixed, open_pairs, parity, verified
 
 #: Words of a line that isn't cut, words on both sides that a cut's key is compared with.
 LONGEST, REACH = 25, 4
 #: Shingles of a set that has no bands, but pairs of its least hashes.
 SMALL = 11
-LINE = re.compile(r"[^\n]*\n|[^\n]+")
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-CACHE_WORDS = 120_000
 _SEEDS = [np.uint64(xxhash.xxh3_64_intdigest(b"minhash %d" % i)) for i in range(64)]
 
 
-class Hashes(dict):
-    """Hashes of words without their top bit, which is set unless the word ends a sentence."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        n = self[word] = xxhash.xxh3_64_intdigest(word) >> 1 | (0 if word[-1] in b".!?" else 1 << 63)
-        return n
+class Words(Shingler):
+    """Shingles, and which words end a sentence."""
 
+    def forget(self) -> None:
+        super().forget()
+        self.final = np.empty(0, bool)
 
-_hashes = Hashes()
+    def learn(self, new: list[bytes]) -> None:
+        super().learn(new)
+        self.final = np.concatenate((self.final, np.fromiter((w[-1] in b".!?" for w in new), bool, len(new))))
 
 
-def cuts(text: str, lines: np.ndarray) -> np.ndarray:
-    """Places inside lines of more than LONGEST words where a paragraph ends; ``lines``: where lines end."""
-    words = text.encode().lower().split()  # of bytes: cuts at the six ASCII spaces, as WORD does
-    if len(words) <= LONGEST:
+def cuts(h: np.ndarray, final: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Which words a paragraph ends after inside lines of more than LONGEST words, from the words' hashes, whether they end a
+    sentence and the numbers of their lines."""
+    n = len(h) - 2 * REACH - 1
+    if n < 1:
         return np.empty(0, np.int64)
-    ends = np.fromiter((m.end() for m in WORD.finditer(text)), np.int64, len(words))
-    line = np.searchsorted(lines, ends)
-    h, top = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)), np.uint64(1 << 63)
-    key = h.copy()
-    key[:-1] = (mixed(mixed(h[:-1] & ~top) * np.uint64(0xC2B2AE3D27D4EB4F) + (h[1:] & ~top)) >> np.uint64(1)) | (h[:-1] & top)
-    n = len(words) - 2 * REACH - 1
+    top = np.uint64(1 << 63)
+    low, key = h >> np.uint64(1), h >> np.uint64(1)
+    key[:-1] = mixed(mixed(low[:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + low[1:]) >> np.uint64(1)
+    key[~final] |= top
     at = slice(REACH, REACH + n)
     # REACH + 1 words at least are on both sides of a cut in its line
     least = (line[:n] == line[2 * REACH + 1 :]) & (np.bincount(line)[line[at]] > LONGEST)
     for d in range(1, REACH + 1):
         least &= (key[at] < key[REACH - d : REACH - d + n]) & (key[at] <= key[REACH + d : REACH + d + n])
-    return ends[at][least]
+    return np.flatnonzero(least) + REACH
+
+
+def cut_up(make: Words, batch: list[str | None]) -> tuple[np.ndarray, ...]:
+    """All paragraphs of the texts: row, start, end (code points, line end included), words; and the hashes of all words."""
+    docs = [t or "" for t in batch]
+    lengths = np.fromiter(map(len, docs), np.int64, len(docs))
+    offsets = np.cumsum(lengths + 1) - lengths - 1
+    joined = "\n".join([*docs, ""])  # a line end after each text
+    codes = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+    lines = np.flatnonzero(codes == 10) + 1
+    space = (codes == 32) | (codes - np.uint32(9) <= 4)
+    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    words, _ = make.numbered([joined.encode().lower().split()])  # of bytes: lowers A-Z, cuts at the six ASCII spaces
+    h = make.hashes[words]
+    stops = np.sort(np.concatenate((lines, ends[cuts(h, make.final[words], np.searchsorted(lines, ends))])))
+    counts = np.bincount(np.searchsorted(stops, ends), minlength=len(stops))
+    starts = np.concatenate(([0], stops[:-1]))[: len(stops)]
+    row = np.searchsorted(offsets, starts, "right") - 1
+    start, end = starts - offsets[row], np.minimum(stops - offsets[row], lengths[row])
+    real = end > start  # the rest is our own line ends
+    return row[real], start[real], end[real], counts[real], h
 
 
 def paragraphs(text: str) -> list[tuple[int, int]]:
     """(start, end) of each paragraph, in code points, its line end included."""
-    if not text:
-        return []
-    lines = np.fromiter((m.end() for m in LINE.finditer(text)), np.int64)
-    stops = np.sort(np.concatenate((lines, cuts(text, lines)))).tolist()
-    return list(zip([0, *stops[:-1]], stops))
+    _, start, end, *_ = cut_up(Words(1), [text])
+    return list(zip(start.tolist(), end.tolist()))
 
 
 def bands(items: np.ndarray, starts: np.ndarray, count: int, rows: int) -> np.ndarray:
@@ -124,36 +135,39 @@ def classes_of(items: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.
     return mixed(np.add.reduceat(mixed(items * np.uint64(0x9E3779B97F4A7C15)), starts) ^ counts.astype(np.uint64)).view(np.int64)
 
 
-def _pieces(make: Shingler, batch: list[str | None], n: int):
+def _pieces(make: Words, batch: list[str | None]):
     """Paragraphs of n words or more: row, start, end, words, sets end to end, their starts and sizes."""
-    flat = [(i, a, b) for i, t in enumerate(batch) if t for a, b in paragraphs(t)]
-    items, counts, words = make.flat([batch[i][a:b] for i, a, b in flat])
-    place = np.array(flat, np.int64).reshape(-1, 3)
-    enough = words >= n
-    items = items[np.repeat(enough, counts)]
-    place, counts = place[enough], counts[enough]
-    return place[:, 0], place[:, 1], place[:, 2], words[enough], items, np.cumsum(counts) - counts, counts
+    row, start, end, words, h = cut_up(make, batch)
+    enough = words >= make.n
+    items, counts = make.sets(h[np.repeat(enough, words)], words[enough])
+    return row[enough], start[enough], end[enough], words[enough], items, np.cumsum(counts) - counts, counts
+
+
+def worker_words(n: int) -> Words:
+    """The worker's, with the words it knows."""
+    return held(("paragraphs", n), lambda: Words(n))
 
 
 def signatures(docs: DataFrame, n: int, count: int, rows: int, percent: int) -> DataFrame:
     """A row for each paragraph: doc_id, start, stop, nth (in its document), words, class; bands where a task meets the class first. Documents without any have one row without class."""
 
     def run(batches):
-        make, seen = shingler(n), np.empty(0, np.int64)
+        make, seen = worker_words(n), np.empty(0, np.int64)
         for part in groups_of(batches):
-            at, start, stop, words, items, starts, counts = _pieces(make, part.column(1).to_pylist(), n)
-            bare = np.setdiff1d(np.arange(part.num_rows), at)
+            at, start, stop, words, items, starts, counts = _pieces(make, part.column(1).to_pylist())
+            bare = np.flatnonzero(np.bincount(at, minlength=part.num_rows) == 0)
             key = classes_of(items, starts, counts) if len(at) else np.empty(0, np.int64)
             _, first = np.unique(key, return_index=True)
             new = np.zeros(len(key), bool)
-            new[first] = ~np.isin(key[first], seen)
+            met = key[first]
+            new[first] = np.searchsorted(seen, met, "left") == np.searchsorted(seen, met, "right")
             if len(seen) < 2_000_000:
-                seen = np.concatenate((seen, key[new]))
+                seen = np.sort(np.concatenate((seen, key[new])), kind="stable")  # two runs, mostly
             some = counts[new]
             hashed, sizes = tokens(items[np.repeat(new, counts)], np.cumsum(some) - some, some, count, rows, percent)
-            held = np.zeros(len(key) + len(bare), np.int64)
-            held[np.flatnonzero(new)] = sizes
-            offsets = np.concatenate(([0], np.cumsum(held))).astype(np.int32)
+            each = np.zeros(len(key) + len(bare), np.int64)
+            each[np.flatnonzero(new)] = sizes
+            offsets = np.concatenate(([0], np.cumsum(each))).astype(np.int32)
             mask = np.concatenate((new, np.zeros(len(bare), bool)))
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashed), mask=pa.array(~mask))
             none = pa.nulls(len(bare), pa.int64())
@@ -166,20 +180,20 @@ def signatures(docs: DataFrame, n: int, count: int, rows: int, percent: int) ->
 def wanted_sets(docs: DataFrame, marked: DataFrame, wanted: DataFrame, n: int, bits: int = 22) -> DataFrame:
     """(class, n, items, map) of the ``wanted`` classes, from documents that have them."""
     one = marked.filter("doc_id is not null").join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc"))
-    held = docs.sparkSession.sparkContext.broadcast(bit_table(one, "doc", bits))
+    sent = docs.sparkSession.sparkContext.broadcast(bit_table(one, "doc", bits))
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
     # classes are hashes already: their own low bits say where they are in a second map
     low = (F.col("class").bitwiseAND(F.lit((1 << bits) - 1))).alias("low")
     places = docs.sparkSession.sparkContext.broadcast(bit_table(wanted.select(low), "low", bits, hashed=False))
 
     def run(batches):
-        make, table = shingler(n), held.value
+        make, table = worker_words(n), sent.value
 
         for batch in batches:
             bucket, bit = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             hit = (table[bucket, bit // 8] >> (bit % 8).astype(np.uint8)) & 1
             for part in groups_of([batch.filter(pa.array(hit.astype(bool)))]):
-                *_, items, starts, counts = _pieces(make, part.column(1).to_pylist(), n)
+                *_, items, starts, counts = _pieces(make, part.column(1).to_pylist())
                 keys = classes_of(items, starts, counts).tolist() if len(starts) else []
                 hit = in_table(places.value, np.array(keys, np.int64) & ((1 << bits) - 1))
                 found = {k: items[a : a + c] for k, a, c, h in zip(keys, starts.tolist(), counts.tolist(), hit) if h}
