@@ -232,9 +232,13 @@ def dedup(df: DataFrame, n: int = 5, percent: int = 80, count: int = 8, rows: in
     found = stars.union(verified(rest, items, percent))
     roots = components(found)
 
-    named = marked.filter("class is not null and doc_id is not null").select("doc_id", "start", "stop", "nth", "words", "class").distinct().join(roots.withColumnRenamed("node", "class"), "class", "left").select("doc_id", "start", "stop", "nth", "words", F.coalesce("root", "class").alias("root"))
+    full = marked.filter("class is not null and doc_id is not null").select("doc_id", "start", "stop", "nth", "words", "class")
+    # only classes that occur twice or are linked can have copies; most are neither and stay out of the joins
+    many = full.groupBy("class").count().filter("count > 1").select("class")
+    some = many.join(roots.withColumnRenamed("node", "class"), "class", "full").select("class", F.coalesce("root", "class").alias("root"))
+    named = written(full.join(some, "class").drop("class").distinct(), "repeated")
     place = F.struct("doc_id", "start")
-    first = named.groupBy("root").agg(F.min(place).alias("kept"), F.count("*").alias("held")).filter("held > 1").select("root", "kept")
+    first = named.groupBy("root").agg(F.min(place).alias("kept"))
     copies = named.join(first, "root").filter(place != F.col("kept"))
     gone = (in_long_runs(copies, least_words) if least_words else copies).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("removed"))
     counts = marked.groupBy("doc_id").agg(F.count("class").alias("n_paragraphs"))
