@@ -126,5 +126,25 @@ def test_language_odd_rows(spark, odd, empty):
     assert {r.lang_pred for r in got if r.doc_id in (1, 2, 3)} == {"und"}
     assert {r.lang_pred for r in language.identify(odd, {}).collect()} == {"und"}
     assert language.learn(empty, F.lit(True)) == {} and language.identify(empty, labelled).collect() == []
-    kept = language.accepted(odd, labelled, 100.0)
+    kept = language.accepted(odd, labelled, language.limits(odd, F.lit(True), labelled))
     assert kept.columns == odd.columns and {1, 2, 3}.isdisjoint({r.doc_id for r in kept.collect()})
+    kept = language.accepted(odd, labelled, {})
+    assert kept.columns == odd.columns and {1, 2, 3}.isdisjoint({r.doc_id for r in kept.collect()})
+
+
+def test_an_unlearned_language_goes_and_learned_ones_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for out in ("de", "fr"):
+        rest = docs.filter(F.col("lang") != out)
+        labelled = language.learn(rest, fold() != 2)
+        kept = language.accepted(docs, labelled, language.limits(rest, fold() == 2, labelled))
+        share = {r.other: r.n / r.held for r in docs.groupBy((F.col("lang") == out).alias("other")).agg(F.count("*").alias("held")).join(kept.groupBy((F.col("lang") == out).alias("other")).agg(F.count("*").alias("n")), "other").collect()}
+        assert share.get(True, 0) < 0.25 and share[False] > 0.99
+
+
+def test_few_documents_give_all_it_takes(spark):
+    text = " ".join(f"{a}{b}" for a in ("uno", "dos", "tres", "cuatro") for b in map(chr, range(97, 123))) * 40
+    docs = spark.createDataFrame([(i, text, "es") for i in range(3)] + [(9, "one two three", "en")], "doc_id long, text string, lang string")
+    got = language.learn(docs, F.lit(True), most_chars=9_000)
+    assert len(got["es"]) >= 9_000 and len(got["en"]) == 15
+    assert len(language.learn(docs, F.lit(True), most_docs=1, most_chars=30_000, of_one=500)["es"]) <= 10_002
