@@ -31,6 +31,31 @@ def test_types_and_formats(spark):
     assert re.fullmatch(r"DE\d{20} iban", got[10].text) and got[10].text != texts[10]
 
 
+def test_mentions_of_one_person_agree(spark):
+    texts = ["Mr. Peter Miller wrote. Later Mr. Miller, Dr. Miller and PETER MILLER? Peter Miller's Millers; Peter and 'Miller' left, Mr. Miller's too.", "Mrs. Miller is here, Miller alone too", "Peter Miller without a title", "Mr. Paul Weber and Mr. Emil Abel"]
+    got = replaced(spark, texts)
+    given, family = re.match(r"Mr\. (\S+) (\S+) wrote", got[0].text).groups()
+    assert got[0].text == f"Mr. {given} {family} wrote. Later Mr. {family}, Dr. {family} and PETER MILLER? {given} {family}'s Millers; {given} and '{family}' left, Mr. {family}'s too."
+    assert got[1].text == f"Mrs. {family} is here, {family} alone too" and got[2].text == texts[2]
+    # no surrogate is the name of somebody in the corpus
+    assert not set(re.findall(r"[\w-]+", got[3].text)) & {"Paul", "Weber", "Emil", "Abel", "Peter", "Miller"}
+
+
+def test_checks_and_addresses(spark):
+    texts = ["id 1700000000000 ms", "card 378282246310005", "DE89 3704 0044 0532 0130 00 or DE89370400440532013000", "at fe80::1ff:fe23:4567:890a or 2001:0DB8:0:0:8:800:200C:417A.", "a::b", "GB82WEST12345698765432"]
+    got = replaced(spark, texts)
+    assert got[0].text == texts[0] and got[0].n_entities == 0
+    assert got[4].text == "a::b"
+    amex = got[1].text.split()[1]
+    assert len(amex) == 15 and check_digit(amex) == 0 and amex != "378282246310005"
+    spaced, plain = got[2].text.split(" or ")
+    remainder = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+    assert spaced.replace(" ", "") == plain != "DE89370400440532013000" and len(spaced) == 27 and remainder(plain) == 1
+    british = got[5].text
+    assert remainder(british) == 1 and re.fullmatch(r"GB\d\d[A-Z]{4}\d{14}", british)
+    assert len(re.findall(r"2001:db8(?::[0-9a-f]{1,4}){6}", got[3].text)) == 2 and "fe80" not in got[3].text and got[3].n_entities == 2
+
+
 def test_distinct_entities_stay_distinct(spark):
     people = [f"Mr. {a}{c} {b}" for a in ("Aron", "Boris", "Cyril") for b in ("Lang", "Kurz", "Gross", "Klein") for c in ("", "x", "y", "z")] * 2
     hosts = [f"host 12.{i % 250}.{i % 7}.{i % 200}" for i in range(500)]
