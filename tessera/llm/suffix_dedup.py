@@ -5,12 +5,15 @@ come first; each bucket is refined by sorting on the bucket identifiers of later
 for the next, deeper round; suffixes alone in their bucket drop out. Three steps bring only suffixes that can repeat to a
 task, and those with equal strings to the same one:
 
-1. Anchors. Each string of ``length`` bytes has its least k-gram (by hash), so equal strings have equal anchors. Blocks of
-   documents send the anchors' 32-bit hashes, in blobs by bucket, and get back one of three marks for each: in one document
-   only, in several, in very many.
-2. Segments. The bytes around a marked anchor that hold the strings it stands for go to the anchor's bucket; equal segments
-   of a block go once, with their least document. Of anchors in very many documents, each string goes on its own to a bucket
-   of its own hash, so that no bucket gathers what follows or precedes a common line.
+1. Anchors. Each string of ``length`` bytes has its least k-gram (by hash, the first of equal ones), so equal strings have
+   equal anchors. Short grams repeat by chance, the more the larger the input; so an anchor has two sides: strings that reach
+   at least half of what is beside the gram to its left hold the same longer context (33 of 50 bytes), the other ones a
+   context to its right (34 bytes). Blocks of documents send the contexts' 32-bit hashes, in blobs by set, and get back one of
+   three marks for each: in one document only, in several, in very many.
+2. Segments. The bytes around an anchor that hold the strings of its marked sides go to the anchor's bucket; equal segments
+   of a block go once, with their least document. Of contexts in very many documents, each string goes on its own to a bucket
+   of its own hash, so that no bucket gathers what follows or precedes a common line. Which side a string is on depends on its
+   bytes alone, so equal strings meet.
 3. Refinement in each bucket finds, for each segment's first document, which strings an earlier document has; its copies in
    later documents are covered whole. Covered stretches go back to the blocks, which cut them out.
 
@@ -24,6 +27,7 @@ rows that repeat a doc_id don't remove from each other; an empty table gives no
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +40,15 @@ from tessera.llm.common import held, texts, trim
 #: Bytes of an anchor; hash base (odd, so it has an inverse modulo 2**64).
 GRAM = 16
 BASE = 0x9E3779B97F4A7C15
-#: Bytes of text in a block, anchors in a bucket, on average.
+#: Bytes of text in a block, anchors in a bucket and in a set of contexts, on average.
 BLOCK_BYTES = 4 << 20
 BUCKET_ANCHORS = 1 << 18
+SET_ANCHORS = 1 << 20
+#: Bits of a place in the bytes worked on at once.
+PLACE_BITS = 30
 #: Strings of one segment at most; only runs of one repeated gram have more.
 SEGMENT = 1024
-#: Documents from which an anchor's strings are dealt one by one.
+#: Documents from which a context's strings are dealt one by one.
 MANY = 2000
 #: Bytes worked on at once in a block.
 CHUNK = 1 << 20
@@ -73,26 +80,71 @@ def slide(x: np.ndarray, width: int, f) -> np.ndarray:
     return f(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
-def anchors(b: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Of the joined texts ``b``: each anchor's hash, and the first and last start of the strings it is the least k-gram of."""
+def context(h: np.ndarray, at: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """Hash of the ``size`` bytes from each place ``at``, from the hashes of all grams."""
+    total = np.full(len(at), seed, np.uint64)
+    for o in (*range(0, size - GRAM, GRAM), size - GRAM):
+        total = (total ^ h[at + o]) * np.uint64(0xC2B2AE3D27D4EB4F)
+        total ^= total >> np.uint64(29)
+    return total
+
+
+class Anchors(NamedTuple):
+    """Each anchor's hash, first and last start of the strings it is the least gram of, last start on its left side, contexts."""
+
+    hash: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    split: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+
+    def take(self, at: np.ndarray) -> Anchors:
+        return Anchors(*(x[at] for x in self))
+
+    def sides(self) -> tuple[np.ndarray, np.ndarray]:
+        """Whether strings are on the left and on the right side."""
+        return self.split >= self.first, self.split < self.last
+
+
+_NONE = Anchors(np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3)), *(np.empty(0, np.uint64) for _ in range(2)))
+
+
+def anchors(b: np.ndarray, ends: np.ndarray, length: int) -> Anchors:
+    """Anchors of the joined texts ``b``."""
     width = length - GRAM + 1
     if len(b) < length:
-        return (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
-    h = grams(b, GRAM) | np.uint64(1)
-    low = slide(h, width, np.minimum)
+        return _NONE
+    h = grams(b, GRAM)
+    place = np.uint64((1 << PLACE_BITS) - 1)
+    low = slide(h & ~place | np.arange(len(h), dtype=np.uint64), width, np.minimum)
     valid = np.repeat(ends, np.diff(ends, prepend=0))[: len(low)] >= np.arange(len(low)) + length
     starts = np.flatnonzero(valid)
     if not len(starts):
-        return (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
-    value = low[starts]
-    change = np.flatnonzero((value[1:] != value[:-1]) | (starts[1:] != starts[:-1] + 1)) + 1
+        return _NONE
+    at = (low[starts] & place).astype(np.int64)
+    change = np.flatnonzero(at[1:] != at[:-1]) + 1
     first, last = starts[np.concatenate(([0], change))], starts[np.concatenate((change - 1, [len(starts) - 1]))]
-    pieces = (last - first) // SEGMENT + 1
-    if (pieces > 1).any():
+    at = at[np.concatenate(([0], change))]
+    half = (width - 1) // 2
+    split = np.clip(at - half, first - 1, last)
+    found = Anchors(h[at], first, last, split, np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64))
+    on_left, on_right = found.sides()
+    found.left[on_left] = context(h, at[on_left] - half, GRAM + half, 1)
+    found.right[on_right] = context(h, at[on_right], length - half + 1, 2)
+    # a repeated gram has one anchor after the other with the same context: they are one, in pieces
+    more = (found.right[1:] == found.right[:-1]) & ~on_left[1:] & ~on_left[:-1] & (found.hash[1:] == found.hash[:-1]) & (first[1:] == last[:-1] + 1)
+    if more.any():
+        lead = np.flatnonzero(np.concatenate(([True], ~more)))
+        last = last[np.append(lead[1:], len(last)) - 1]
+        found = found.take(lead)
+        pieces = (last - found.first) // SEGMENT + 1
         nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        first, last = np.repeat(first, pieces) + nth * SEGMENT, np.repeat(last, pieces)
+        found, last = found.take(np.repeat(np.arange(len(lead)), pieces)), np.repeat(last, pieces)
+        first = found.first + nth * SEGMENT
         last = np.minimum(last, first + SEGMENT - 1)
-    return low[first], first, last
+        found = found._replace(first=first, last=last, split=np.where(found.split < found.first, first - 1, found.split))
+    return found
 
 
 class Block:
@@ -124,35 +176,49 @@ class Block:
         return np.frombuffer(b"".join([self.texts[i] for i in rows]), np.uint8), np.array(rows), ends
 
     def anchors(self):
-        """Of each chunk: bytes, hashes, row, first and last start, offset of the row's text."""
+        """Of each chunk: bytes, anchors, their row, offset of the row's text."""
         for b, rows, ends in self.chunks():
-            h, first, last = anchors(b, ends, self.length)
-            at = np.searchsorted(ends, first, side="right")
-            yield b, h, rows[at], first, last, (ends - self.sizes[rows])[at]
+            found = anchors(b, ends, self.length)
+            at = np.searchsorted(ends, found.first, side="right")
+            yield b, found, rows[at], (ends - self.sizes[rows])[at]
 
 
 def keys_of(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and 32-bit hash in it of an anchor."""
+    """Bucket and 32-bit hash in it of an anchor or context."""
     return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def block_anchors(block: Block, buckets: int):
-    """Of the block's distinct anchors, in order: bucket, 32-bit hash, documents that have it (255 at most)."""
-    pairs = []
-    for _, h, row, *_ in block.anchors():
-        bucket, key = keys_of(h, buckets)
-        pairs.append(np.stack((bucket << 32 | key, row), 1))
-    if not pairs:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    both = np.concatenate(pairs)
-    order = np.lexsort((both[:, 1], both[:, 0]))
-    code, doc = both[order, 0], block.ids[both[order, 1]]
-    new = np.concatenate(([True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])))
+def codes_of(h: np.ndarray, sets: int) -> np.ndarray:
+    """Set and 32-bit hash in it of a context, in one number."""
+    of, key = keys_of(h, sets)
+    return of << 32 | key
+
+
+def block_contexts(block: Block, sets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the block's distinct contexts, in order, and documents that have each (255 at most)."""
+    codes, rows = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for _, found, row, _ in block.anchors():
+        for h, there in zip((found.left, found.right), found.sides()):
+            codes.append(codes_of(h[there], sets))
+            rows.append(row[there])
+    code, doc = np.concatenate(codes), block.ids[np.concatenate(rows)]
+    order = np.lexsort((doc, code))
+    code, doc = code[order], doc[order]
+    new = np.concatenate((np.ones(min(1, len(code)), bool), (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])))
     code = code[new]
-    starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(code)), bool), code[1:] != code[:-1])))
     return code[starts], np.minimum(np.diff(np.append(starts, len(code))), 255)
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers as the gaps between them, first bytes first, which the shuffle's compression makes small."""
+    return np.diff(keys, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view("<u4")[:, 0], dtype=np.int64)
+
+
 def refine(bucket: np.ndarray, step: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One round: suffixes at ``starts`` that aren't alone, in new buckets by (own bucket, bucket ``step`` later)."""
     a, b = bucket[starts], bucket[starts + step]
@@ -208,38 +274,17 @@ def dedup(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept binary) of each row."""
     docs = texts(df, id_col, text_col)
     size = int(docs.select(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0)
-    blocks, buckets = max(8, size // BLOCK_BYTES), max(4, size // 16 // BUCKET_ANCHORS)
+    blocks, buckets, sets = max(8, size // BLOCK_BYTES), max(4, size // 16 // BUCKET_ANCHORS), max(4, size // 16 // SET_ANCHORS)
     q = (length + 1) // 2
     dealt = docs.select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
 
     def post(table):
-        block = Block(table, length)
-        code, docs_with = block_anchors(block, buckets)
-        cuts = np.flatnonzero(np.diff(code >> 32)) + 1
-        parts = [(c, d) for c, d in zip(np.split(code, cuts), np.split(docs_with, cuts)) if len(c)]
-        return pa.table({
-            "block": pa.array([table.column("block")[0].as_py()] * len(parts), pa.int32()),
-            "bucket": pa.array([int(c[0] >> 32) for c, _ in parts], pa.int32()),
-            "keys": pa.array([(c & 0xFFFFFFFF).astype("<u4").tobytes() for c, _ in parts], pa.binary()),
-            "docs_with": pa.array([d.astype(np.uint8).tobytes() for _, d in parts], pa.binary()),
-        })
-
-    def mark(table):
-        keys = [np.frombuffer(x, "<u4") for x in table.column("keys").to_pylist()]
-        count = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("docs_with").to_pylist()])
-        _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, weights=count)[inverse]
-        marks = np.where(total >= MANY, 2, total >= 2).astype(np.uint8)
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "marks": pa.array([m.tobytes() for m in np.split(marks, np.cumsum([len(k) for k in keys])[:-1])], pa.binary())})
+        return _post(table, length, sets)
 
     def segments(docs_of, marks_of):
         if not docs_of.num_rows or not marks_of.num_rows:
             return _SEGMENTS.empty_table()
-        block = Block(docs_of, length)
-        code, _ = block_anchors(block, buckets)
-        marks_of = marks_of.sort_by("bucket")
-        mark = np.concatenate([np.frombuffer(x, np.uint8) for x in marks_of.column("marks").to_pylist()])
-        return _segments(block, docs_of.column("block")[0].as_py(), code, mark, buckets, length)
+        return _segments(docs_of, marks_of, buckets, sets, length)
 
     def cover(table):
         return _cover(table, length, q)
@@ -247,8 +292,8 @@ def dedup(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str
     def cut(docs_of, spans_of):
         return _cut(docs_of, spans_of, length, with_text)
 
-    posted = dealt.groupBy("block").applyInArrow(post, "block int, bucket int, keys binary, docs_with binary")
-    marked = posted.groupBy("bucket").applyInArrow(mark, "block int, bucket int, marks binary")
+    posted = dealt.groupBy("block").applyInArrow(post, "block int, part int, keys binary, docs_with binary")
+    marked = posted.groupBy("part").applyInArrow(_mark, "block int, part int, marks binary")
     sent = dealt.groupBy("block").cogroup(marked.groupBy("block")).applyInArrow(segments, "block int, bucket int, row binary, start binary, size binary, doc binary, key binary, bytes binary")
     covered = sent.groupBy("bucket").applyInArrow(cover, "block int, row binary, start binary, size binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
@@ -295,28 +340,66 @@ def _distinct(b: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.nd
     return first, number
 
 
-def _segments(block: Block, name: int, code: np.ndarray, mark: np.ndarray, buckets: int, length: int) -> pa.Table:
+def _post(table: pa.Table, length: int, sets: int) -> pa.Table:
+    """The contexts of a block, a row for each set."""
+    code, docs_with = block_contexts(Block(table, length), sets)
+    cuts = np.flatnonzero(np.diff(code >> 32)) + 1
+    parts = [(c, d) for c, d in zip(np.split(code, cuts), np.split(docs_with, cuts)) if len(c)]
+    return pa.table({
+        "block": pa.array([table.column("block")[0].as_py()] * len(parts), pa.int32()),
+        "part": pa.array([int(c[0] >> 32) for c, _ in parts], pa.int32()),
+        "keys": pa.array([packed(c & 0xFFFFFFFF) for c, _ in parts], pa.binary()),
+        "docs_with": pa.array([d.astype(np.uint8).tobytes() for _, d in parts], pa.binary()),
+    })
+
+
+def _mark(table: pa.Table) -> pa.Table:
+    """Marks of a set's contexts, in the order of each block."""
+    keys = [unpacked(x) for x in table.column("keys").to_pylist()]
+    count = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("docs_with").to_pylist()])
+    _, inverse = np.unique(np.concatenate(keys).astype(np.uint32), return_inverse=True)
+    total = np.bincount(inverse, weights=count)[inverse]
+    marks = np.where(total >= MANY, 2, total >= 2).astype(np.uint8)
+    return pa.table({"block": table.column("block"), "part": table.column("part"), "marks": pa.array([m.tobytes() for m in np.split(marks, np.cumsum([len(k) for k in keys])[:-1])], pa.binary())})
+
+
+def _places(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the range, place) of each place from ``first`` to ``last``."""
+    count = last - first + 1
+    of = np.repeat(np.arange(len(first)), count)
+    return of, first[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _segments(docs_of: pa.Table, marks_of: pa.Table, buckets: int, sets: int, length: int) -> pa.Table:
+    """Segments and single strings of a block that may repeat, a row for each bucket."""
+    block, name = Block(docs_of, length), docs_of.column("block")[0].as_py()
+    code, _ = block_contexts(block, sets)
+    mark = np.concatenate([np.frombuffer(x, np.uint8) for x in marks_of.sort_by("part").column("marks").to_pylist()])
     out: dict[str, list] = {k: [] for k in _SEGMENTS.names}
 
     def send(bucket, row, start, size, doc, key, flat):
         for k, v in zip(_SEGMENTS.names, (name, bucket, row.astype("<u4").tobytes(), start.astype("<u4").tobytes(), size.astype("<u2").tobytes(), doc.astype("<i8").tobytes(), key.astype("<u4").tobytes(), pa.compress(flat.tobytes(), "zstd", asbytes=True) if len(flat) else b"")):
             out[k].append(v)
 
+    def marks(h, there):
+        kind = np.zeros(len(h), np.uint8)
+        kind[there] = mark[np.searchsorted(code, codes_of(h[there], sets))]
+        return kind
+
     held: list[tuple] = []
     texts_of: list[np.ndarray] = []
     base = 0
-    for b, h, row, first, last, offset in block.anchors():
-        bucket, key = keys_of(h, buckets)
-        kind = mark[np.searchsorted(code, bucket << 32 | key)]
-        one = np.flatnonzero(kind == 1)
-        each = np.flatnonzero(kind == 2)
-        count = (last - first + 1)[each]
-        again = np.repeat(each, count)
-        begin = first[again] + np.arange(len(again)) - np.repeat(np.cumsum(count) - count, count)
-        start = np.concatenate((first[one], begin))
-        size = np.concatenate(((last - first + length)[one], np.full(len(again), length)))
-        of = np.concatenate((one, again))
-        held.append((start + base, size, row[of], start - offset[of], bucket[of], np.concatenate((np.maximum(key[one], 1), np.zeros(len(again), np.uint32)))))
+    for b, found, row, offset in block.anchors():
+        bucket, key = keys_of(found.hash, buckets)
+        left, right = (marks(h, there) for h, there in zip((found.left, found.right), found.sides()))
+        one = np.flatnonzero((left == 1) | (right == 1))
+        begin, end = np.where(left == 1, found.first, found.split + 1)[one], np.where(right == 1, found.last, found.split)[one]
+        each = np.concatenate((np.flatnonzero(left == 2), np.flatnonzero(right == 2)))
+        among, place = _places(np.concatenate((found.first[left == 2], found.split[right == 2] + 1)), np.concatenate((found.split[left == 2], found.last[right == 2])))
+        start = np.concatenate((begin, place))
+        size = np.concatenate((end - begin + length, np.full(len(place), length)))
+        of = np.concatenate((one, each[among]))
+        held.append((start + base, size, row[of], start - offset[of], bucket[of], np.concatenate((np.maximum(key[one], 1), np.zeros(len(place), np.uint32)))))
         texts_of.append(b)
         base += len(b)
     if not held:

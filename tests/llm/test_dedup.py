@@ -58,6 +58,36 @@ def test_suffix_dedup_long_and_empty(odd, empty):
     assert suffix_dedup.dedup(empty).collect() == []
 
 
+def test_chance_repeats_of_anchors_send_nothing():
+    """In words of few syllables most grams of 16 bytes repeat by chance; only what can hold a repeated string is sent."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(7)
+    syllables = ["th", "in", "er"]
+    block = lambda k: pa.table({"block": [k] * 100, "doc_id": range(k, 200, 2), "text": ["".join(r.choice(syllables) for _ in range(1500)) for _ in range(100)]}, schema=pa.schema([("block", pa.int32()), ("doc_id", pa.int64()), ("text", pa.string())]))
+    blocks = [block(0), block(1)]
+    passage = blocks[0]["text"][0].as_py()[100:500]
+    blocks[1] = pa.concat_tables([blocks[1].slice(1), pa.table({"block": [1], "doc_id": [999], "text": [passage]}, schema=blocks[1].schema)])
+    grams = [np.unique(np.concatenate([a.hash for _, a, *_ in suffix_dedup.Block(b, 50).anchors()])) for b in blocks]
+    assert len(np.intersect1d(*grams)) > 0.3 * len(grams[1])
+    posted = pa.concat_tables([suffix_dedup._post(b, 50, 1) for b in blocks])
+    marked = suffix_dedup._mark(posted)
+    sent = [suffix_dedup._segments(b, marked.slice(k, 1), 4, 1, 50) for k, b in enumerate(blocks)]
+    size = [sum(int(np.frombuffer(x, "<u2").sum()) for x in s["size"].to_pylist()) for s in sent]
+    assert size[1] >= 400 and max(size) < 0.05 * 100 * 2000, size
+    covered = suffix_dedup._cover(pa.concat_tables(sent), 50, 25)
+    rows = {(b, i) for b, x in zip(covered["block"].to_pylist(), covered["row"].to_pylist()) for i in np.frombuffer(x, "<u4").tolist()}
+    assert (1, 99) in rows
+
+
+def test_contexts_travel_in_gaps():
+    import numpy as np
+
+    for keys in ([], [0], [5, 6, 1 << 20, (1 << 32) - 1]):
+        assert suffix_dedup.unpacked(suffix_dedup.packed(np.array(keys, np.int64))).tolist() == keys
+
+
 def test_paragraphs_cover_the_text():
     r = random.Random(1)
     for text in ("", "a\n\nb", "x\r\ny\x0bz", " ".join(r.choice(["word.", "other", "end!"]) for _ in range(500)), "é ü\n"):
