@@ -1,7 +1,7 @@
 """Quality rules: repetition counts, and a hashed n-gram log-likelihood ratio.
 
 Words and word pairs are hashed into buckets. Two multinomials are counted over them: the raw corpus (all documents) and a
-trusted target (a bounded set of document ids). A document's score is the sum of log target/raw over its n-grams divided by
+trusted target (all documents labelled good). A document's score is the sum of log target/raw over its n-grams divided by
 their number; a document is kept if its score reaches a threshold. The threshold is a quantile of the trusted documents' scores,
 each under a target counted without its own fold: so they score as documents do that the target hasn't seen.
 
@@ -11,10 +11,13 @@ rows and count as often as they occur; a null id stays null. Counts and scores c
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Numbers, groups_of, held, parted, texts, written
@@ -25,6 +28,10 @@ SPACES = "\t\n\x0b\x0c\r "
 CACHE_WORDS = 120_000
 #: Parts of the trusted documents, each scored by the others.
 FOLDS = 8
+#: Trusted ids that are sent to all workers at most (8 bytes each); documents are joined to more of them by a shuffle.
+BROADCAST_IDS = 1 << 24
+#: Score bins of the threshold's search, a unit.
+BINS = 1 << 12
 
 
 class Words:
@@ -81,20 +88,41 @@ def repeated_lines(text: str) -> int:
     return n
 
 
-def trusted_ids(labels: DataFrame, most: int = 20_000) -> DataFrame:
-    """At most ``most`` doc_ids with quality 1 that aren't toxic, chosen by a hash, and their folds; all if there are fewer."""
+def fold_of() -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")
+
+
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """All doc_ids with quality 1 that aren't toxic, and their folds."""
     good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int"))
+    return good.withColumn("fold", fold_of())
+
+
+def with_folds(df: DataFrame, trusted: DataFrame) -> tuple[DataFrame, Callable[[pa.RecordBatch], np.ndarray]]:
+    """doc_id, text and a third column of ``df``, and what tells from its batches each row's fold, -1 where it isn't trusted."""
+    if trusted.count() > BROADCAST_IDS:
+        return df.join(trusted, "doc_id", "left").select("doc_id", "text", F.coalesce("fold", F.lit(-1))), lambda part: part.column(2).to_numpy()
+    ids = df.sparkSession.sparkContext.broadcast(np.sort(trusted.select("doc_id").toArrow().column(0).to_numpy()))
+
+    def folds(part):
+        known, own = ids.value, part.column(0)
+        if not len(known):
+            return np.full(part.num_rows, -1)
+        asked = pc.fill_null(own, 0).to_numpy()
+        there = known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked
+        return np.where(there & own.is_valid().to_numpy(zero_copy_only=False), part.column(2).to_numpy(), -1)
+
+    return df.select("doc_id", "text", fold_of()), folds
 
 
 def count(df: DataFrame, trusted: DataFrame, bits: int) -> np.ndarray:
-    """Bucket counts, of all texts of ``df`` (doc_id, text) and of each fold of the target. ``trusted``: a bounded table of doc_ids and their folds."""
+    """Bucket counts, of all texts of ``df`` (doc_id, text) and of each fold of the target. ``trusted``: doc_ids and their folds."""
     size = 1 << bits
 
     def run(batches):
         words, total = held(("words",), Words), np.zeros((1 + FOLDS, size), np.int64)
         for part in groups_of(batches):
-            rows = part.column(2).to_numpy()
+            rows = folds(part) + 1  # 0: not trusted
             numbers = words.number([t.lower().encode().split() if t else [] for t in part.column(1).to_pylist()])
             for row in np.unique(rows).tolist():
                 found = [buckets_of(words.hashes[x], bits) for x, r in zip(numbers, rows.tolist()) if r == row and len(x)]
@@ -105,8 +133,7 @@ def count(df: DataFrame, trusted: DataFrame, bits: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(x[at]) for x in total)], names=["bucket", *columns])
 
     columns = ["raw", *(f"target{k}" for k in range(FOLDS))]
-    row = F.coalesce(F.col("fold") + 1, F.lit(0)).cast("int")  # 0: not trusted
-    marked = df.join(F.broadcast(trusted), "doc_id", "left").select("doc_id", "text", row.alias("row"))
+    marked, folds = with_folds(df, trusted)
     total = np.zeros((1 + FOLDS, size), np.int64)
     for r in marked.mapInArrow(run, "bucket long, " + ", ".join(f"{c} long" for c in columns)).groupBy("bucket").agg(*(F.sum(c).alias(c) for c in columns)).collect():  # 2**bits rows at most
         total[:, r["bucket"]] = r[1:]
@@ -155,19 +182,35 @@ def threshold(df: DataFrame, trusted: DataFrame, counts: np.ndarray, share: floa
     def run(batches):
         words = held(("words",), Words)
         for part in groups_of(batches):
-            numbers = words.number([t.lower().encode().split() if t else [] for t in part.column(1).to_pylist()])
-            score = [float(weight[k][buckets_of(words.hashes[x], bits)].mean()) for x, k in zip(numbers, part.column(2).to_pylist()) if len(x)]
+            fold = folds(part)
+            numbers = words.number([t.lower().encode().split() if t else [] for t in part.column(1).filter(pa.array(fold >= 0)).to_pylist()])
+            score = [float(weight[k][buckets_of(words.hashes[x], bits)].mean()) for x, k in zip(numbers, fold[fold >= 0].tolist()) if len(x)]
             yield pa.RecordBatch.from_arrays([pa.array(score, pa.float64())], names=["score"])
 
-    chosen = df.join(F.broadcast(trusted), "doc_id").select("doc_id", "text", "fold")
-    least = chosen.mapInArrow(run, "score double").agg(F.percentile("score", F.lit(share)).alias("least")).first()["least"]
-    return float("-inf") if least is None else least
+    marked, folds = with_folds(df, trusted)
+    return quantile(written(marked.mapInArrow(run, "score double"), "scores"), share)
+
+
+def quantile(scores: DataFrame, share: float) -> float:
+    """The exact quantile of a column ``score``, between two values in proportion; -inf without any. Only counts of bins and the values of one or two bins are collected."""
+    scores = scores.withColumn("bin", F.floor(F.col("score") * BINS))
+    held = sorted((r["bin"], r["n"]) for r in scores.groupBy("bin").agg(F.count("*").alias("n")).collect())
+    if not held:
+        return float("-inf")
+    ends = np.cumsum([n for _, n in held])
+    rank = share * (int(ends[-1]) - 1)
+    low, high = int(np.floor(rank)), int(np.ceil(rank))
+    first, last = np.searchsorted(ends, [low, high], side="right")
+    values = sorted((r["score"], r["n"]) for r in scores.filter(F.col("bin").isin(held[first][0], held[last][0])).groupBy("score").agg(F.count("*").alias("n")).collect())
+    upto = np.cumsum([n for _, n in values]) + (ends[first - 1] if first else 0)
+    a, b = (values[i][0] for i in np.searchsorted(upto, [low, high], side="right"))
+    return a + (b - a) * (rank - low)
 
 
-def assess(df: DataFrame, labels: DataFrame, bits: int = 16, most_trusted: int = 20_000, share: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def assess(df: DataFrame, labels: DataFrame, bits: int = 16, share: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``measure`` of each document, with ``enough`` (score reaches the threshold)."""
     docs = texts(df, id_col, text_col)
-    trusted = written(trusted_ids(labels, most_trusted), "trusted")
+    trusted = written(trusted_ids(labels), "trusted")
     counts = count(docs, trusted, bits)
     weight = weights(counts[0], counts[1:].sum(0))
     least = threshold(docs, trusted, counts, share)

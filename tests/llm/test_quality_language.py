@@ -84,6 +84,35 @@ def test_threshold_equals_brute_force(spark, small):
     assert abs(quality.threshold(docs, trusted, counts, 0.05) - np.quantile(scores, 0.05)) < 1e-9
 
 
+def test_all_trusted_documents_count(spark, monkeypatch):
+    """More good labels than were once taken, by a broadcast and by a shuffle."""
+    n = 20_500
+    labels = spark.range(n).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('a', id % 7, ' b', id % 5, if(id % 1000 = 3, ' rare', '')) as text")
+    trusted = quality.trusted_ids(labels).cache()
+    assert trusted.count() == n
+    got = []
+    for most in (quality.BROADCAST_IDS, 10):
+        monkeypatch.setattr(quality, "BROADCAST_IDS", most)
+        counts = quality.count(docs, trusted, 12)
+        assert counts[0].sum() == counts[1:].sum() == 3 * n + 2 * 21
+        got.append((counts.tolist(), quality.threshold(docs, trusted, counts, 0.01)))
+    assert got[0] == got[1]
+
+
+def test_quantile_is_exact(spark):
+    import random
+
+    import numpy as np
+
+    r = random.Random(2)
+    for values in ([1.5], [0.25, 0.25, -3.0], [r.gauss(0, 1) for _ in range(500)], [r.randrange(3) / 7 for _ in range(200)], [r.random() / 9000 for _ in range(99)]):
+        scores = spark.createDataFrame([(x,) for x in values], "score double")
+        for share in (0.0, 0.01, 0.37, 1.0):
+            assert abs(quality.quantile(scores, share) - np.quantile(values, share)) < 1e-12
+    assert quality.quantile(spark.createDataFrame([], "score double"), 0.5) == float("-inf")
+
+
 def test_registered_quality_query(spark):
     sf = "/root/testdata/sf0.001"
     score = {r.doc_id: r.enough for r in quality.assess(*(spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))).collect()}
