@@ -11,7 +11,8 @@ rows give repeated rows; a null id stays null (and is never learned from). Whole
 
 What is accepted as a learned language: bits a character of its labelled documents that weren't learned from have a mean and a
 spread, which shrinks with the root of a text's length up to the language's mean length (longer texts have that one's); texts
-SPREADS spreads above the mean are in some other language. Learning and limits read bounded samples, by parameters; stretches of sampled documents start at hashed places.
+SPREADS spreads above the mean are in some other language. Limits are of all labelled documents that are held out; learning reads a
+bounded sample, by parameters, of which stretches start at hashed places.
 """
 
 from __future__ import annotations
@@ -118,9 +119,14 @@ class CrossParser:
         return names, scores, bits, chars
 
 
+def usable_rows(df: DataFrame, usable: Column, lang_col: str, id_col: str, text_col: str) -> DataFrame:
+    """The ``usable`` labelled rows: id, lang and text."""
+    return df.filter(usable).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("id is not null and lang is not null and text is not null")
+
+
 def drawn(df: DataFrame, usable: Column, most_docs: int, lang_col: str, id_col: str, text_col: str) -> tuple[DataFrame, dict[str, int]]:
     """A hashed sample of the ``usable`` labelled rows (lang, drawn, id, text), about 1.5 ``most_docs`` a language or all it has, and each language's rows."""
-    rows = df.filter(usable).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("id is not null and lang is not null and text is not null")
+    rows = usable_rows(df, usable, lang_col, id_col, text_col)
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     limit = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, 1.5 * most_docs / n + 64 / n) * (1 << 40)))])
     picked = rows.withColumn("drawn", F.pmod(F.xxhash64("id"), F.lit(1 << 40)))
@@ -151,13 +157,13 @@ def learn(df: DataFrame, usable: Column, lang_col: str = "lang", id_col: str = "
     return labelled
 
 
-def limits(df: DataFrame, held_out: Column, labelled: dict[str, str], lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", most_docs: int = 400) -> dict[str, tuple[float, float, float]]:
-    """Mean bits a character of each language, its spread times the root of the characters, and the mean length, from a sample of
-    about 1.5 ``most_docs`` ``held_out`` documents a language, those that are told right; ``labelled`` is learned from others."""
-    sample, counts = drawn(df, held_out, most_docs, lang_col, id_col, text_col)
-    if not counts or not labelled:
+def limits(df: DataFrame, held_out: Column, labelled: dict[str, str], lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> dict[str, tuple[float, float, float]]:
+    """Mean bits a character of each language, its spread times the root of the characters, and the mean length, from all labelled
+    ``held_out`` documents that are told right; ``labelled`` is learned from others."""
+    if not labelled:
         return {}
-    told = identify(sample.select("lang", "text", F.xxhash64("id").alias("key")), labelled, "key", "text", also="lang").filter("lang = lang_pred")
+    rows = usable_rows(df, held_out, lang_col, id_col, text_col)
+    told = identify(rows.select("lang", "text", F.xxhash64("id").alias("key")), labelled, "key", "text", also="lang").filter("lang = lang_pred")
     out = {}
     for r in told.groupBy("lang").agg(F.sum("chars").alias("n"), F.sum(F.col("bits") * F.col("chars")).alias("b"), F.sum(F.col("bits") ** 2 * F.col("chars")).alias("bb"), F.count("*").alias("docs")).collect():
         mean = r["b"] / r["n"]

@@ -171,6 +171,23 @@ def test_an_unlearned_language_goes_and_learned_ones_stay(spark):
         assert share.get(True, 0) < 0.25 and share[False] > 0.99
 
 
+def test_limits_are_of_all_held_out_documents(spark):
+    """2,000 documents of each language, more than a sample ever took; the far ones are few."""
+    words = {"en": ["the", "water", "house", "nothing", "light"], "de": ["wasser", "häuser", "nichts", "licht", "über"]}
+    text = lambda lang, i: " ".join(words[lang][(i * k + k) % 5] for k in range(1, 4 + i % 7)) + (" qx" * 3 if i % 401 == 7 else "")
+    docs = spark.createDataFrame([(2 * i + k, text(lang, i), lang) for i in range(2_000) for k, lang in enumerate(words)], "doc_id long, text string, lang string")
+    labelled = {lang: "\x00" + "\x00".join(w) + "\x00" for lang, w in words.items()}
+    got = language.limits(docs, F.lit(True), labelled)
+    parser = language.CrossParser(labelled)
+    for lang in words:
+        names, _, bits, chars = parser.predict([text(lang, i) for i in range(2_000)])
+        told = [(b, n) for x, b, n in zip(names, bits.tolist(), chars.tolist()) if x == lang]
+        total = sum(n for _, n in told)
+        mean = sum(b * n for b, n in told) / total
+        want = mean, (sum((b - mean) ** 2 * n for b, n in told) / len(told)) ** 0.5, total / len(told)
+        assert all(abs(x - y) < 1e-6 for x, y in zip(got[lang], want)), (got[lang], want)
+
+
 def test_few_documents_give_all_it_takes(spark):
     text = " ".join(f"{a}{b}" for a in ("uno", "dos", "tres", "cuatro") for b in map(chr, range(97, 123))) * 40
     docs = spark.createDataFrame([(i, text, "es") for i in range(3)] + [(9, "one two three", "en")], "doc_id long, text string, lang string")
